@@ -59,3 +59,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
          OR 2 * n_upper > n_words OR 5 * n_runs > n_words OR 10 * top > 4 * n_words) AS kept
 FROM b
 """
+
+
+@query
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm import simhash
+
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
