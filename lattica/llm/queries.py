@@ -73,3 +73,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm import bpe
 
     return bpe.digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm import packing
+
+    return packing.pack(table(spark, sf_dir, "documents"))
