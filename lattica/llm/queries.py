@@ -80,3 +80,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm import packing
 
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm import langid
+
+    return langid.identify(table(spark, sf_dir, "documents"))
