@@ -87,3 +87,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm import langid
 
     return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm import toxicity
+
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
