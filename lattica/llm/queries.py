@@ -94,3 +94,25 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm import toxicity
 
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm import embdedup
+
+    return embdedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE_SQL["op8_embedding_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.9
+), r(u, v) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.u, l.v FROM r JOIN l ON r.v = l.u
+), n AS (SELECT u, count(*) AS n FROM l GROUP BY u)
+SELECT e.vec_id, coalesce(max(n.n), 0) AS n_links, min(r.v) AS component_id, e.vec_id = min(r.v) AS kept
+FROM embeddings e JOIN r ON r.u = e.vec_id LEFT JOIN n ON n.u = e.vec_id GROUP BY e.vec_id
+"""
