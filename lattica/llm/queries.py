@@ -116,3 +116,10 @@ WITH RECURSIVE v AS (
 SELECT e.vec_id, coalesce(max(n.n), 0) AS n_links, min(r.v) AS component_id, e.vec_id = min(r.v) AS kept
 FROM embeddings e JOIN r ON r.u = e.vec_id LEFT JOIN n ON n.u = e.vec_id GROUP BY e.vec_id
 """
+
+
+@query
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm import lm
+
+    return lm.score_documents(table(spark, sf_dir, "documents"))
