@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from lattica.llm.chunks import ChunkCache, pretokens, read_ranks
 
 LONG = 512
+#: What a worker remembers at most, the words of one query, and the texts that are cut at once.
+CHUNKS, WORDS, QUERY_WORDS, SLICE_ROWS = 350_000, 500_000, 40_000, 1000
 
 ENCODE = """
 WITH RECURSIVE t(w, pos, tok, done) AS (
@@ -65,7 +67,8 @@ class Codec:
         self._table("merges", pa.table({"pair": left * (1 << 20) + right, "made": made.astype(np.int32)}))
         self._table("vocabulary", pa.table({"tok": pa.array(self.ranks.values(), type=pa.int32()), "digits": [k.hex() for k in self.ranks]}))
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.chunks = ChunkCache(self._chunks)
+        self.chunks = ChunkCache(self._chunks, most=CHUNKS)
+        self.words: dict[str, tuple[bytes, bytes]] = {}
 
     def _table(self, name: str, rows: pa.Table) -> None:
         self.db.register("rows_in", rows)
@@ -91,48 +94,67 @@ class Codec:
                     heapq.heappush(heap, (r, at))
         return [self.ranks[t] for t in tokens if t is not None]
 
-    def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
-        """The ids of each word."""
+    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, number of ids of each word)."""
         short = [k for k, w in enumerate(words) if 0 < len(w) <= LONG]
-        out = [np.array(self._heap(w) if len(w) > LONG else [], dtype=np.int32) for w in words]
+        many = np.zeros(len(words), dtype=np.int64)
+        ids = np.zeros(0, dtype=np.int32)
         if short:
-            sizes = np.array([len(words[k]) for k in short])
+            sizes = np.fromiter((len(words[k]) for k in short), dtype=np.int64, count=len(short))
             data = np.frombuffer(b"".join(words[k] for k in short), dtype=np.uint8)
             at = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            self.db.register("given", pa.table({"w": np.repeat(np.arange(len(short), dtype=np.int32), sizes), "pos": at.astype(np.int32), "tok": self.single[data]}))
+            self.db.register("given", pa.table({"w": np.repeat(np.array(short, dtype=np.int32), sizes), "pos": at.astype(np.int32), "tok": self.single[data]}))
             found = self.db.sql(ENCODE).to_arrow_table()
             self.db.unregister("given")
-            word, ids = found["w"].to_numpy(), found["tok"].to_numpy()
-            for k, x in zip(short, np.split(ids, np.flatnonzero(np.diff(word)) + 1), strict=True):
-                out[k] = x
-        return out
-
-    def decode(self, sequences: list[np.ndarray]) -> list[bytes]:
-        """The bytes of each sequence of ids."""
-        sizes = np.array([len(x) for x in sequences], dtype=np.int64)
-        out = [b""] * len(sequences)
-        if sizes.sum():
-            w = np.repeat(np.arange(len(sequences), dtype=np.int32), sizes)
-            self.db.register("ids", pa.table({"w": w, "pos": np.arange(len(w)), "tok": np.concatenate(sequences).astype(np.int32)}))
+            ids = found["tok"].to_numpy()
+            many = np.bincount(found["w"].to_numpy(), minlength=len(words))
+        if len(short) < len(words) and (long := [k for k, w in enumerate(words) if len(w) > LONG]):
+            parts = np.split(ids, np.cumsum(many)[:-1])
+            for k in long:
+                parts[k] = np.array(self._heap(words[k]), dtype=np.int32)
+                many[k] = len(parts[k])
+            ids = np.concatenate(parts)
+        return ids, many
+
+    def _decode(self, ids: np.ndarray, many: np.ndarray) -> list[bytes]:
+        out = [b""] * len(many)
+        if len(ids):
+            w = np.repeat(np.arange(len(many), dtype=np.int32), many)
+            self.db.register("ids", pa.table({"w": w, "pos": np.arange(len(w), dtype=np.int32), "tok": ids.astype(np.int32, copy=False)}))
             found = self.db.sql(DECODE).to_arrow_table()
             self.db.unregister("ids")
             for k, digits in zip(found["w"].to_pylist(), found["digits"].to_pylist(), strict=True):
                 out[k] = bytes.fromhex(digits)
         return out
 
+    def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
+        """The ids of each word."""
+        ids, many = self._encode(words)
+        return np.split(ids, np.cumsum(many)[:-1]) if words else []
+
+    def decode(self, sequences: list[np.ndarray]) -> list[bytes]:
+        """The bytes of each sequence of ids."""
+        return self._decode(np.concatenate(sequences) if sequences else np.zeros(0, dtype=np.int32), np.array([len(x) for x in sequences], dtype=np.int64))
+
     def _chunks(self, chunks: list[str]) -> list[tuple[bytes, bytes]]:
-        cut = [[w.encode() for w in pretokens(c)] for c in chunks]
-        distinct = list({w for x in cut for w in x})
-        ids: dict[bytes, tuple[bytes, bytes]] = {}
-        for k in range(0, len(distinct), 25_000):
-            some = distinct[k : k + 25_000]
-            encoded = self.encode_words(some)
-            ids.update(zip(some, zip((x.astype("<u4").tobytes() for x in encoded), self.decode(encoded), strict=True), strict=True))
-        return [ids[x[0]] if len(x) == 1 else (b"".join(ids[w][0] for w in x), b"".join(ids[w][1] for w in x)) for x in cut]
+        cut = [pretokens(c) for c in chunks]
+        known = self.words
+        if len(known) > WORDS:
+            known.clear()
+        new = list({w for x in cut for w in x if w not in known})
+        for k in range(0, len(new), QUERY_WORDS):
+            some = new[k : k + QUERY_WORDS]
+            ids, many = self._encode([w.encode() for w in some])
+            blob, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(many)).tolist()
+            known.update(zip(some, zip([blob[a:b] for a, b in zip([0, *ends], ends, strict=False)], self._decode(ids, many), strict=True), strict=True))
+        return [known[x[0]] if len(x) == 1 else (b"".join([known[w][0] for w in x]), b"".join([known[w][1] for w in x])) for x in cut]
 
     def encode_batch(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
         """For each text its ids as little-endian unsigned 32-bit integers, and those ids decoded."""
-        return [(b"".join([a for a, _ in x]), b"".join([b for _, b in x])) for x in self.chunks.batch(texts)]
+        out = []
+        for k in range(0, len(texts), SLICE_ROWS):
+            out += [(b"".join([a for a, _ in x]), b"".join([b for _, b in x])) for x in self.chunks.batch(texts[k : k + SLICE_ROWS])]
+        return out
 
 
 @cache
