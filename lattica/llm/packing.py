@@ -29,6 +29,9 @@ from lattica.llm.common import stored
 #: Fixed values of the contract.
 WINDOW, END = 2048, 1
 
+#: Documents that a worker holds as chunks at once.
+SLICE_ROWS = 1000
+
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _caches: dict[str, ChunkCache] = {}
 
@@ -46,12 +49,12 @@ def encoded(df: DataFrame, path: str, doc_id: str, text: str, end: int) -> DataF
             one = byte_level(path)
             _caches[path] = ChunkCache(lambda some: [np.array(one(x), dtype="<u4").tobytes() for x in some])
         last = np.array([end], dtype="<u4").tobytes()
-        for part in parts:
-            ids = [b"".join(x) + last for x in _caches[path].batch(part.column(1).to_pylist())]
+        for some in (part.slice(k, SLICE_ROWS) for part in parts for k in range(0, part.num_rows, SLICE_ROWS)):
+            ids = [b"".join(x) + last for x in _caches[path].batch(some.column(1).to_pylist())]
             sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
             places = place + np.cumsum(sizes) - sizes
             place += int(sizes.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), number)), pa.array(places), part.column(0), pa.array(ids, type=pa.binary())], names=["part", "place", "doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), number)), pa.array(places), some.column(0), pa.array(ids, type=pa.binary())], names=["part", "place", "doc_id", "ids"])
 
     return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "part long, place long, doc_id long, ids binary")
 
@@ -77,10 +80,10 @@ def pack(df: DataFrame, path: str | None = None, window: int = WINDOW, end: int
         before += n
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for some in (part.slice(k, SLICE_ROWS) for part in parts for k in range(0, part.num_rows, SLICE_ROWS)):
             rows: list[tuple] = []
             docs: list[int | None] = []
-            for number, place, doc, ids in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            for number, place, doc, ids in zip(*(c.to_pylist() for c in some.columns), strict=True):
                 total = len(ids) // 4
                 for start, length, crc, sequence, offset in cut(ids, base[number] + place, window):
                     docs.append(doc)
