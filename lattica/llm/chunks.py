@@ -43,7 +43,7 @@ class ChunkCache:
         cut = [chunks(x or "") for x in texts]
         if len(self.held) > self.most:
             self.held.clear()
-        new = list({c for x in cut for c in x if c not in self.held})
+        new = [c for c in set().union(*cut) if c not in self.held]
         for k in range(0, len(new), 50_000):
             some = new[k : k + 50_000]
             self.held.update(zip(some, self.encode(some), strict=True))

@@ -13,7 +13,9 @@ empty result; other columns aren't read.
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +38,14 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _caches: dict[str, ChunkCache] = {}
 
 
+def _little(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    made = array("I", ids)
+    if sys.byteorder == "big":
+        made.byteswap()
+    return made.tobytes()
+
+
 def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
@@ -47,7 +57,7 @@ def encoded(df: DataFrame, path: str, doc_id: str, text: str, end: int) -> DataF
         number, place = TaskContext.get().partitionId(), 0
         if path not in _caches:
             one = byte_level(path)
-            _caches[path] = ChunkCache(lambda some: [np.array(one(x), dtype="<u4").tobytes() for x in some])
+            _caches[path] = ChunkCache(lambda some: [_little(one(x)) for x in some], most=400_000)
         last = np.array([end], dtype="<u4").tobytes()
         for some in (part.slice(k, SLICE_ROWS) for part in parts for k in range(0, part.num_rows, SLICE_ROWS)):
             ids = [b"".join(x) + last for x in _caches[path].batch(some.column(1).to_pylist())]
