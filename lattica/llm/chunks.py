@@ -87,4 +87,13 @@ def byte_level(path: str) -> Callable[[str], list[int]]:
     return lambda text: whole.encode(text, add_special_tokens=False).ids
 
 
-__all__ = ["PATTERN", "ChunkCache", "byte_level", "chunks", "pretokens", "read_ranks"]
+@cache
+def id_kind(path: str) -> str:
+    """The narrowest array type code that holds every id of a `tokenizers` file."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    most = max([*spec["model"]["vocab"].values(), *(x["id"] for x in spec.get("added_tokens", []))])
+    return "H" if most < 1 << 16 else "I"
+
+
+__all__ = ["PATTERN", "ChunkCache", "byte_level", "chunks", "id_kind", "pretokens", "read_ranks"]

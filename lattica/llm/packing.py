@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.chunks import ChunkCache, byte_level
+from lattica.llm.chunks import ChunkCache, byte_level, id_kind
 from lattica.llm.common import stored
 
 #: Fixed values of the contract.
@@ -38,9 +38,9 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _caches: dict[str, ChunkCache] = {}
 
 
-def _little(ids: list[int]) -> bytes:
-    """Ids as little-endian unsigned 32-bit integers."""
-    made = array("I", ids)
+def _little(ids: list[int], kind: str) -> bytes:
+    """Ids as little-endian unsigned integers of that type code."""
+    made = array(kind, ids)
     if sys.byteorder == "big":
         made.byteswap()
     return made.tobytes()
@@ -51,17 +51,19 @@ def default_path() -> str:
 
 
 def encoded(df: DataFrame, path: str, doc_id: str, text: str, end: int) -> DataFrame:
-    """(part, place, doc_id, ids): part is the partition, place the ids before the document in it, ids little-endian."""
+    """(part, place, doc_id, ids): part is the partition, place the ids before the document in it, ids little-endian and narrow."""
+    kind = id_kind(path)
+    width = array(kind).itemsize
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, place = TaskContext.get().partitionId(), 0
         if path not in _caches:
             one = byte_level(path)
-            _caches[path] = ChunkCache(lambda some: [_little(one(x)) for x in some], most=400_000)
-        last = np.array([end], dtype="<u4").tobytes()
+            _caches[path] = ChunkCache(lambda some: [_little(one(x), kind) for x in some], most=400_000)
+        last = _little([end], kind)
         for some in (part.slice(k, SLICE_ROWS) for part in parts for k in range(0, part.num_rows, SLICE_ROWS)):
             ids = [b"".join(x) + last for x in _caches[path].batch(some.column(1).to_pylist())]
-            sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+            sizes = np.array([len(x) // width for x in ids], dtype=np.int64)
             places = place + np.cumsum(sizes) - sizes
             place += int(sizes.sum())
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), number)), pa.array(places), some.column(0), pa.array(ids, type=pa.binary())], names=["part", "place", "doc_id", "ids"])
@@ -82,8 +84,10 @@ def cut(ids: bytes, begin: int, window: int) -> list[tuple[int, int, int, int, i
 
 def pack(df: DataFrame, path: str | None = None, window: int = WINDOW, end: int = END, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    written = stored(encoded(df, path or default_path(), doc_id, text, end))
-    totals = sorted((r["part"], r["n"]) for r in written.groupBy("part").agg(F.sum(F.octet_length("ids") / 4).cast("long").alias("n")).collect())
+    path = path or default_path()
+    narrow = f"<u{array(id_kind(path)).itemsize}"
+    written = stored(encoded(df, path, doc_id, text, end))
+    totals = sorted((r["part"], r["n"]) for r in written.groupBy("part").agg(F.sum(F.expr(f"octet_length(ids) div {np.dtype(narrow).itemsize}")).alias("n")).collect())
     before, base = 0, {}
     for part, n in totals:
         base[part] = before
@@ -94,8 +98,9 @@ def pack(df: DataFrame, path: str | None = None, window: int = WINDOW, end: int
             rows: list[tuple] = []
             docs: list[int | None] = []
             for number, place, doc, ids in zip(*(c.to_pylist() for c in some.columns), strict=True):
-                total = len(ids) // 4
-                for start, length, crc, sequence, offset in cut(ids, base[number] + place, window):
+                wide = np.frombuffer(ids, dtype=narrow).astype("<u4").tobytes()
+                total = len(wide) // 4
+                for start, length, crc, sequence, offset in cut(wide, base[number] + place, window):
                     docs.append(doc)
                     rows.append((start, length, crc, total, sequence, offset))
             table = np.array(rows, dtype=np.int64).reshape(-1, 6)
