@@ -123,3 +123,10 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm import lm
 
     return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm import rlindex
+
+    return rlindex.digests(table(spark, sf_dir, "documents"))
