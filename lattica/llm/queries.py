@@ -130,3 +130,34 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm import rlindex
 
     return rlindex.digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm import chat
+
+    return chat.conversations(table(spark, sf_dir, "conversations"))
+
+
+ORACLE_SQL["op10_chat_formatting"] = r"""
+WITH RECURSIVE m AS (
+  SELECT conv_id, turn, role, text, string_split(text, chr(10)) AS ls FROM conversations
+), l AS (
+  SELECT conv_id, turn, unnest(ls) AS line FROM m WHERE conv_id IS NOT NULL AND turn IS NOT NULL
+), k AS (
+  SELECT conv_id, turn, length(regexp_replace(regexp_extract(line, '^(?:[ \t]*>)+'), '[^>]', '', 'g')) AS level,
+         trim(lower(regexp_replace(regexp_replace(line, '^(?:[ \t]*>)+', ''), '[ \t\x0B\f\r]+', ' ', 'g'))) AS plain FROM l
+), said AS (
+  SELECT conv_id, plain, min(turn) AS source FROM k WHERE level = 0 AND plain <> '' GROUP BY conv_id, plain
+), f AS (
+  SELECT k.conv_id, k.turn, level, source, count(*) AS n FROM k JOIN said USING (conv_id, plain) WHERE level > 0 AND source < k.turn GROUP BY ALL
+), links AS (
+  SELECT conv_id, turn, source AS reply_to FROM f QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, n DESC, source DESC) = 1
+), up(conv_id, turn, thread) AS (
+  SELECT conv_id, turn, reply_to FROM links UNION ALL SELECT u.conv_id, u.turn, k.reply_to FROM up u JOIN links k ON k.conv_id = u.conv_id AND k.turn = u.thread
+), roots AS (SELECT conv_id, turn, min(thread) AS thread FROM up GROUP BY conv_id, turn)
+SELECT m.conv_id, CASE WHEN m.conv_id IS NOT NULL THEN row_number() OVER (PARTITION BY m.conv_id ORDER BY coalesce(r.thread, m.turn), m.turn, m.role) - 1 END AS position,
+       m.turn, m.role, array_to_string(list_filter(ls, lambda x: NOT regexp_matches(x, '^(?:[ \t]*>)+')), chr(10)) AS text,
+       CAST(coalesce(len(list_filter(ls, lambda x: regexp_matches(x, '^(?:[ \t]*>)+'))), 0) AS BIGINT) AS n_quoted, k.reply_to, coalesce(r.thread, m.turn) AS thread
+FROM m LEFT JOIN links k ON k.conv_id = m.conv_id AND k.turn = m.turn LEFT JOIN roots r ON r.conv_id = m.conv_id AND r.turn = m.turn
+"""
