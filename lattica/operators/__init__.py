@@ -1 +1 @@
-""""""
+"""Operators over distributed arrays."""

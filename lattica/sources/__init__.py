@@ -1 +1 @@
-""""""
+"""Readers, writers and random sources."""
