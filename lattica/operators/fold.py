@@ -120,7 +120,12 @@ def softmax(df: DataFrame, keys: list[str], value: str, out: str = "v") -> DataF
     return raised.join(total, keys).withColumn(out, F.col("__e") / F.col("__t")).drop("__m", "__e", "__t")
 
 
+def _with(value: Column, f: object) -> Column:
+    """f of a value that is computed once, though f uses it for every element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def softmax_cells(cells: Column) -> Column:
     """Softmax of an array column, in the row."""
-    raised = F.transform(cells, lambda v: F.exp(v - F.array_max(cells)))
-    return F.transform(raised, lambda e: e / F.aggregate(raised, F.lit(0.0), lambda a, b: a + b))
+    raised = _with(F.array_max(cells), lambda top: F.transform(cells, lambda v: F.exp(v - top)))
+    return _with(raised, lambda e: _with(F.aggregate(e, F.lit(0.0), lambda a, b: a + b), lambda total: F.transform(e, lambda v: v / total)))
