@@ -83,6 +83,22 @@ def _last_seen(df: DataFrame, column: str) -> DataFrame:
     return made.withColumn(column, F.when(F.col(column) >= 0, F.col(column)))
 
 
+def asof(w: DataFrame, x: DataFrame, on: str) -> DataFrame:
+    """x's rows with the columns of the last row of w whose `on` is not later; rows of x without one are left out.
+
+    One sort puts both sides in order and a running maximum carries the place of w's last row on, so there are no
+    pairs and no partition of all rows. Of w's rows with equal `on` the last by the other columns counts.
+    """
+    order = [c for c in w.columns if c != on]
+    both = w.select(F.col(on).alias("__t"), F.lit(0).alias("__s"), F.struct(*order).alias("__w"), F.lit(None).cast(x.select(F.struct("*")).schema[0].dataType).alias("__x")).unionByName(
+        x.select(F.col(on).alias("__t"), F.lit(1).alias("__s"), F.lit(None).cast(w.select(F.struct(*order)).schema[0].dataType).alias("__w"), F.struct(*x.columns).alias("__x"))
+    )
+    placed, _ = dense_index(both, ["__t", "__s", "__w"], "__at")
+    marked = running(placed.withColumn("__m", F.when(F.col("__s") == 0, F.col("__at")).otherwise(F.lit(-1).cast("long"))), "__at", "__m", "max")
+    found = marked.where("__s = 1 AND __m >= 0").select("__m", "__x")
+    return found.join(placed.where("__s = 0").select(F.col("__at").alias("__m"), "__w"), "__m").select("__x.*", "__w.*")
+
+
 def find(w: str, text: Column) -> Column:
     """Flags of the places where w begins in a text; an empty w begins everywhere."""
     n = F.length(text) - len(w) + 1

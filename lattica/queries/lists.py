@@ -302,17 +302,10 @@ def bins_down(spark, d):
 
 @query("WITH p AS (SELECT event_id, ts FROM events WHERE event_type = 'purchase'), e AS (SELECT event_id, ts FROM events WHERE event_type = 'error') SELECT p.event_id, e.event_id AS e_id FROM p ASOF JOIN e ON p.ts >= e.ts")
 def asof(spark, d):
-    """The latest error at or before each purchase: bins of the sorted times, and the row before the bin's end."""
-    e = table(spark, d, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")).cast("double"))
-    engine = Engine(spark)
-    times = engine.array(e.where("event_type = 'error'"), ["t", "event_id"], "t")
-    ids = engine.array(e.where("event_type = 'error'"), ["t", "event_id"], F.col("event_id").cast("double"))
-    asked = e.where("event_type = 'purchase'")
-    x = engine.array(asked, ["event_id"], "t")
-    whose = engine.array(asked, ["event_id"], F.col("event_id").cast("double"))
-    at = search.bins(times, x).df.where("v > 0").select(F.col("i0").alias("q"), (F.col("v") - 1).cast("long").alias("i0"))
-    found = at.join(ids.df, "i0").select("q", F.col("v").cast("long").alias("e_id"))
-    return found.join(whose.df.withColumnRenamed("i0", "q"), "q").select(F.col("v").cast("long").alias("event_id"), "e_id")
+    """The latest error at or before each purchase."""
+    e = table(spark, d, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
+    errors = e.where("event_type = 'error'").select("t", F.col("event_id").alias("e_id"))
+    return search.asof(errors, e.where("event_type = 'purchase'").select("event_id", "t"), "t").select("event_id", "e_id")
 
 
 @query("SELECT event_id AS i0, CAST(value >= 50 AND value < 200 AS INTEGER) * 1.0::DOUBLE AS v FROM events")
