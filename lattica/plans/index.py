@@ -49,12 +49,12 @@ def running(df: DataFrame, place: str, value: str, how: str, block: int = BLOCK)
     Blocks of places run side by side; only block totals, one row a block, pass through one ordered window.
     """
     one = {"sum": F.sum, "product": F.product, "min": F.min, "max": F.max}[how]
-    within = Window.partitionBy("__b").orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
-    cut = df.withColumn("__b", F.floor(F.col(place) / block))
-    inner = cut.withColumn("__w", one(value).over(within))
-    earlier = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = cut.groupBy("__b").agg(one(value).alias("__t")).withColumn("__t", one("__t").over(earlier))
-    both = inner.join(totals, "__b")
-    w, t = F.col("__w"), F.col("__t")
+    within = Window.partitionBy("__run_block").orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
+    cut = df.withColumn("__run_block", F.floor(F.col(place) / block))
+    inner = cut.withColumn("__run_within", one(value).over(within))
+    earlier = Window.orderBy("__run_block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = cut.groupBy("__run_block").agg(one(value).alias("__run_total")).withColumn("__run_total", one("__run_total").over(earlier))
+    both = inner.join(totals, "__run_block")
+    w, t = F.col("__run_within"), F.col("__run_total")
     joined = {"sum": w + t, "product": w * t, "min": F.least(w, t), "max": F.greatest(w, t)}[how]
-    return both.withColumn(value, F.when(t.isNull(), w).otherwise(joined)).drop("__b", "__w", "__t")
+    return both.withColumn(value, F.when(t.isNull(), w).otherwise(joined)).drop("__run_block", "__run_within", "__run_total")
