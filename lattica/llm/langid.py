@@ -20,18 +20,20 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import bounded_sample, crc_rest
+from lattica.llm.common import bounded_sample, crc_rest, per_task
 
 BUCKETS = 1 << 16
 PER_LANGUAGE, FRAGMENT = 400, 1500
 LEXICON = 400
+#: Texts that a worker holds as words at once; enough of them that long ones are few to a batch.
+SLICE_ROWS = 2500
 UNKNOWN = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -64,8 +66,12 @@ class Model:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"held": {}, "rows": []}
 
+    def fresh(self) -> Model:
+        """The same model, remembering no words: a task's memory goes with it."""
+        return replace(self, held={}, rows=[])
+
     def emissions(self, words: list[str]) -> np.ndarray:
-        """Log potentials of each word; a worker keeps those of the words it has seen, up to a fixed number."""
+        """Log potentials of each word; those of the words seen are kept, up to a fixed number."""
         if len(self.held) > 300_000:
             self.held.clear()
             self.rows.clear()
@@ -222,11 +228,12 @@ def predictions(df: DataFrame, model: Model, held_out: Column, doc_id: str = "do
     shared = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows of weights
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value.fresh()
         for part in parts:
-            named, score = shared.value.predict(part.column(2).to_pylist())
+            named, score = model.predict(part.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(named, type=pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    return df.select(F.col(doc_id).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return df.select(F.col(doc_id).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text")).mapInArrow(per_task(run, SLICE_ROWS), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(df: DataFrame, model: Model, least: float = 0.5, text: str = "text") -> DataFrame:
@@ -234,11 +241,12 @@ def keep_identified(df: DataFrame, model: Model, least: float = 0.5, text: str =
     shared, place = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value.fresh()
         for part in parts:
-            named, score = shared.value.predict(part.column(place).to_pylist())
+            named, score = model.predict(part.column(place).to_pylist())
             yield part.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(named, score, strict=True)], type=pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(per_task(run, SLICE_ROWS), df.schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:

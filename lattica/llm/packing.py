@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.chunks import ChunkCache, byte_level, id_kind
-from lattica.llm.common import stored
+from lattica.llm.common import per_task, stored
 
 #: Fixed values of the contract.
 WINDOW, END = 2048, 1
@@ -35,7 +35,6 @@ WINDOW, END = 2048, 1
 SLICE_ROWS = 1000
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_caches: dict[str, ChunkCache] = {}
 
 
 def _little(ids: list[int], kind: str) -> bytes:
@@ -57,18 +56,17 @@ def encoded(df: DataFrame, path: str, doc_id: str, text: str, end: int) -> DataF
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, place = TaskContext.get().partitionId(), 0
-        if path not in _caches:
-            one = byte_level(path)
-            _caches[path] = ChunkCache(lambda some: [_little(one(x), kind) for x in some], most=400_000)
+        one = byte_level(path)
+        cache = ChunkCache(lambda some: [_little(one(x), kind) for x in some])
         last = _little([end], kind)
-        for some in (part.slice(k, SLICE_ROWS) for part in parts for k in range(0, part.num_rows, SLICE_ROWS)):
-            ids = [b"".join(x) + last for x in _caches[path].batch(some.column(1).to_pylist())]
+        for some in parts:
+            ids = [b"".join(x) + last for x in cache.batch(some.column(1).to_pylist())]
             sizes = np.array([len(x) // width for x in ids], dtype=np.int64)
             places = place + np.cumsum(sizes) - sizes
             place += int(sizes.sum())
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), number)), pa.array(places), some.column(0), pa.array(ids, type=pa.binary())], names=["part", "place", "doc_id", "ids"])
 
-    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "part long, place long, doc_id long, ids binary")
+    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(per_task(run, SLICE_ROWS), "part long, place long, doc_id long, ids binary")
 
 
 def cut(ids: bytes, begin: int, window: int) -> list[tuple[int, int, int, int, int]]:
@@ -94,7 +92,7 @@ def pack(df: DataFrame, path: str | None = None, window: int = WINDOW, end: int
         before += n
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for some in (part.slice(k, SLICE_ROWS) for part in parts for k in range(0, part.num_rows, SLICE_ROWS)):
+        for some in parts:
             rows: list[tuple] = []
             docs: list[int | None] = []
             for number, place, doc, ids in zip(*(c.to_pylist() for c in some.columns), strict=True):
@@ -106,4 +104,4 @@ def pack(df: DataFrame, path: str | None = None, window: int = WINDOW, end: int
             table = np.array(rows, dtype=np.int64).reshape(-1, 6)
             yield pa.RecordBatch.from_arrays([pa.array(docs, type=pa.int64()), *(pa.array(np.ascontiguousarray(table[:, k])) for k in range(6))], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    return written.mapInArrow(run, PIECE)
+    return written.mapInArrow(per_task(run, SLICE_ROWS), PIECE)

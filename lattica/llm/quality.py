@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import WORD
+from lattica.llm.common import WORD, per_task
 
 #: Fixed values of the contract.
 SYMBOLS = "#*$%&|<>"
@@ -139,7 +139,7 @@ def cascade_order(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = R
                     seconds[k] += time.perf_counter() - began
         yield pa.RecordBatch.from_pydict({"rule": list(range(len(rules))), "seconds": seconds, "rejected": rejected})
 
-    found = rows.mapInArrow(measure, "rule long, seconds double, rejected long").groupBy("rule").agg(F.sum("seconds").alias("seconds"), F.sum("rejected").alias("rejected")).collect()
+    found = rows.mapInArrow(per_task(measure, 1000), "rule long, seconds double, rejected long").groupBy("rule").agg(F.sum("seconds").alias("seconds"), F.sum("rejected").alias("rejected")).collect()
     worth = {r["rule"]: r["rejected"] / max(r["seconds"], 1e-9) for r in found}
     return tuple(rules[k] for k in sorted(range(len(rules)), key=lambda k: (-worth.get(k, 0.0), k)))
 
@@ -159,7 +159,7 @@ def measures(df: DataFrame, doc_id: str = "doc_id", text: str = "text", order: t
                     out[k].append(v)
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(v, type=pa.bool_() if k in ("base_failed", "kept") else pa.int64()) for k, v in out.items())], names=["doc_id", *out])
 
-    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(judge, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean")
+    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(per_task(judge, 1000), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean")
 
 
 def keep_clean(df: DataFrame, text: str = "text", order: tuple[Rule, ...] | None = None) -> DataFrame:
@@ -171,4 +171,4 @@ def keep_clean(df: DataFrame, text: str = "text", order: tuple[Rule, ...] | None
         for part in parts:
             yield part.filter(pa.array([passes(Text(x), order) for x in part.column(place).to_pylist()], type=pa.bool_()))
 
-    return df.mapInArrow(choose, df.schema)
+    return df.mapInArrow(per_task(choose, 1000), df.schema)

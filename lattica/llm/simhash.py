@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import lower_ascii_bytes, stored
+from lattica.llm.common import lower_ascii_bytes, per_task, stored
 from lattica.llm.components import components
 
 BITS, RADIUS = 64, 3
@@ -149,7 +149,7 @@ def _fingerprints(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, print): the fingerprint of every row as a signed long."""
-    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(_fingerprints, "doc_id long, print long")
+    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(per_task(_fingerprints, 2000), "doc_id long, print long")
 
 
 def _scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,8 +201,8 @@ def links(nodes: DataFrame, segments: int | None = None) -> DataFrame:
                 key, row = keys(prints[k : k + 20_000].view(np.uint64), segments)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(prints[k + row]), pa.array(node[k + row])], names=["key", "print", "node"])
 
-    keyed = nodes.select("print", "node").mapInArrow(make, "key long, print long, node long")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_scan, "u long, v long")
+    keyed = nodes.select("print", "node").mapInArrow(per_task(make), "key long, print long, node long")
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(per_task(_scan), "u long, v long")
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import bounded_sample, crc_rest, lists
+from lattica.llm.common import bounded_sample, crc_rest, lists, per_task
 
 BUCKETS = 1 << 18
 PER_LABEL = 3000
@@ -175,13 +175,12 @@ def scores(df: DataFrame, model: Model, held_out: Column, doc_id: str = "doc_id"
     shared = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS floats
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for k in range(0, part.num_rows, 1000):
-                some = part.slice(k, 1000)
-                score = shared.value.score(some.column(2).to_pylist())
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+        model = Model(shared.value.weights, shared.value.bias)  # remembers words for this task alone
+        for some in parts:
+            score = model.score(some.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return df.select(F.col(doc_id).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return df.select(F.col(doc_id).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text")).mapInArrow(per_task(run, 1000), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
