@@ -4,7 +4,7 @@
 
 Values are numbers, strings and arrays (DArray). Functions take one or two arguments; 1-modifiers (´ ˝ ` ˘ ¨ ˜ ⁼ ˙ ⌜)
 stand after their function, 2-modifiers (∘ ○ ⊸ ⟜ ⊘ ◶ ⌾ ⍟ ⎊) between two. Two functions in a row are an atop, three a
-fork. {…} is a block of 𝕩 and 𝕨, ← names a value, ⋄ parts statements, ‿ and ⟨⟩ make lists, # begins a comment. Array
+fork. {…} is a block of 𝕩 and 𝕨, its bodies parted by ; with predicates before ?, ← names a value, ⋄ parts statements, ‿ and ⟨⟩ make lists, # begins a comment. Array
 values stay plans until a result is shown. Arrays from tables are put in with ``bind``.
 """
 
@@ -221,15 +221,37 @@ class Session:
             return self.engine.literal([str(x) if isinstance(x, Char) else x for x in items], (len(items),))
         return list(items)
 
+    @staticmethod
+    def _parts(toks: list, mark: str) -> list[list]:
+        """Tokens cut at a mark that stands in no bracket."""
+        out, depth = [[]], 0
+        for t in toks:
+            depth += t[0] == "glyph" and t[1] in "({⟨["
+            depth -= t[0] == "glyph" and t[1] in ")}⟩]"
+            if t == ("glyph", mark) and not depth:
+                out.append([])
+            else:
+                out[-1].append(t)
+        return out
+
+    def _body(self, inner: list, scope: dict) -> Any:
+        """The first body whose predicates are 1: bodies are parted by ; and a predicate ends in ?"""
+        for body in self._parts(inner, ";"):
+            *tests, last = self._parts(body, "?")
+            own = dict(scope)
+            if all(self._statements(t, own)[0] == 1 for t in tests):
+                return self._statements(last, own)[0]
+        raise DomainError("no body of the block applies")
+
     def _block(self, inner: list, scope: dict) -> Any:
         if not any(k == "name" and v in "𝕩𝕨𝕤𝕊𝕏𝕎" for k, v in inner):
-            return self._statements(inner, dict(scope))[0]
+            return self._body(inner, scope)
 
         def call(x: Any, w: Any = None) -> Any:
             own = dict(scope) | {"𝕩": x, "𝕤": me}
             if w is not None:
                 own["𝕨"] = w
-            return self._statements(inner, own)[0]
+            return self._body(inner, own)
 
         me = Fn(call)
         return me

@@ -20,7 +20,7 @@ def run(spark):
         ("⌽⌾(¯3⊸↓) ↕7", [3, 2, 1, 0, 4, 5, 6]), ("⌽⌾(1‿0‿1‿1⊸/) 1‿2‿3‿4", [4, 2, 3, 1]), ("3 +⁼ 10", 7), ("/⁼ ⟨2,3,1,1⟩", [0, 2, 1, 1]),
         ("⍋ 3‿1‿2", [1, 2, 0]), ("∨ 3‿1‿2", [3, 2, 1]), ("3‿1‿2 ⊐ 1‿5", [1, 3]), ("⊔ 0‿1‿0", [[0, 2], [1]]), ("0‿1‿0 ⊔ 5‿6‿7", [[5, 7], [6]]),
         ('⌽ "abc"', "cba"), ('"abc" + 1', "bcd"), ("'c' - 'a'", 2), ('"ab" ∾ "cd"', "abcd"), ("⍷ 1‿2‿1", [1, 2]), ("2‿4 ⍋ 1‿2‿5", [0, 1, 2]),
-        ("(↕2) ×⌜ ↕3", [[0, 0, 0], [0, 1, 2]]), ("{𝕩×𝕩} 4", 16), ("3 {𝕨-𝕩} 1", 2), ("f ← {𝕩+1} ⋄ f 4", 5), ("2⊸×⍟3 1", 8),
+        ("(↕2) ×⌜ ↕3", [[0, 0, 0], [0, 1, 2]]), ("{𝕩×𝕩} 4", 16), ("{𝕩<2 ? 1 ; 𝕩×𝕊 𝕩-1} 4", 24), ("3 {𝕨-𝕩} 1", 2), ("f ← {𝕩+1} ⋄ f 4", 5), ("2⊸×⍟3 1", 8),
         ("(+´÷≠) 1‿2‿3", 2), ("⌊∘÷⟜2 7", 3), ("1‿2‿3 ≡ 1‿2‿3", 1), ("! ⎊ 5 0", 5), ("2 / 1‿2", [1, 1, 2, 2]), ("1‿0‿1 / 4‿5‿6", [4, 6]), ("≢ 2‿3⥊0", [2, 3]),
         ("3 ↕ ↕5", [[0, 1, 2], [1, 2, 3], [2, 3, 4]]), ("» 1‿2‿3", [0, 1, 2]), ("+˜ 3", 6), ("+˜⁼ 6", 3), ("1 = 'a'", 0), ("≡ ⟨1, 2‿3⟩", 2), ("×⟜2¨ 1‿2", [2, 4]),
     ],
