@@ -102,7 +102,9 @@ def asof(w: DataFrame, x: DataFrame, on: str) -> DataFrame:
 def find(w: str, text: Column) -> Column:
     """Flags of the places where w begins in a text; an empty w begins everywhere."""
     n = F.length(text) - len(w) + 1
-    return F.when(n < 1, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: (F.substring(text, k, F.lit(len(w))) == F.lit(w)).cast("int")))
+    # Characters are bound once, as a list in a list: a substring would count from the text's beginning for every place.
+    at = lambda chars: F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda k: reduce(Column.__and__, (F.get(chars, k + o) == c for o, c in enumerate(w)), F.lit(True)).cast("int"))
+    return F.when(n < 1, F.array().cast("array<int>")).when(n >= 1, F.transform(F.array(F.split(text, "")), at)[0])
 
 
 def find_cells(w: DArray, x: DArray) -> DArray:

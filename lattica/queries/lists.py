@@ -326,6 +326,12 @@ def find_text(spark, d):
     return table(spark, d, "documents").where("length(text) BETWEEN 3 AND 600").select("doc_id", search.find("the", F.col("text")).alias("flags"))
 
 
+@query()
+def find_text_all(spark, d):
+    """Texts of every length."""
+    return table(spark, d, "documents").select("doc_id", search.find("the", F.col("text")).alias("flags"))
+
+
 @query("SELECT a.event_id AS i0, CAST(a.user_id % 3 = 1 AND b.user_id % 3 = 2 AS INTEGER) * 1.0::DOUBLE AS v FROM events a JOIN events b ON b.event_id = a.event_id + 1")
 def find_cells(spark, d):
     return search.find_cells(Engine(spark).literal([1, 2]), users(spark, d).map(lambda v: num.modulus(3.0, v))).df
