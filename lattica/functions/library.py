@@ -139,15 +139,7 @@ def bit_cast(x: Column, width: int, to: int) -> Column:
 
 def code_points(text: Column) -> Column:
     """Array of the characters' code points."""
-    return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: _code(c))
-
-
-def _code(c: Column) -> Column:
-    """Code point of a one-character string from its UTF-32 form, which no built-in gives beyond one byte."""
-    b = F.hex(F.encode(c, "UTF-16BE"))
-    high = F.conv(F.substring(b, 1, 4), 16, 10).cast("int")
-    low = F.conv(F.substring(b, 5, 4), 16, 10).cast("int")
-    return F.when(F.length(b) > 4, (high - 0xD800) * 1024 + (low - 0xDC00) + 0x10000).otherwise(high)
+    return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), F.ascii)
 
 
 def from_code_points(codes: Column) -> Column:
@@ -164,8 +156,8 @@ def shift_chars(text: Column, by: Column | int) -> Column:
 
 def to_utf8(text: Column) -> Column:
     """The bytes of a text as an array of numbers."""
-    h = F.hex(F.encode(text, "UTF-8"))
-    return F.when(F.length(h) == 0, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(h), F.lit(2)) - 1, F.lit(2)), lambda k: F.conv(F.substring(h, k, F.lit(2)), 16, 10).cast("int")))
+    # Read as Latin-1, each byte is a character: a substring would count from the text's beginning for every byte.
+    return F.transform(F.filter(F.split(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), ""), lambda c: c != ""), F.ascii)
 
 
 def from_utf8(codes: Column) -> Column:

@@ -195,6 +195,19 @@ def utf8_round_trip(spark, d):
     return cut.select("doc_id", lib.from_utf8(F.col("b")).alias("t"), F.size("b").cast("long").alias("n"))
 
 
+@query()
+def text_code_points_all(spark, d):
+    """Whole texts, the empty ones too."""
+    return table(spark, d, "documents").select("doc_id", lib.code_points(F.col("text")).alias("codes"))
+
+
+@query("SELECT doc_id, text AS t, octet_length(encode(text)) AS n FROM documents")
+def utf8_round_trip_all(spark, d):
+    """Whole texts."""
+    whole = table(spark, d, "documents").select("doc_id", lib.to_utf8(F.col("text")).alias("b"))
+    return whole.select("doc_id", lib.from_utf8(F.col("b")).alias("t"), F.size("b").cast("long").alias("n"))
+
+
 @query("SELECT event_id, -value AS v FROM events")
 def parse_numerals(spark, d):
     return table(spark, d, "events").select("event_id", lib.parse_number(F.concat(F.lit("¯"), F.col("value").cast("string"))).alias("v"))

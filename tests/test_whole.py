@@ -16,3 +16,14 @@ def folder(spark, tmp_path_factory):
 def test_find_text_all(spark, folder):
     got = {r.doc_id: r.flags for r in QUERIES["find_text_all"](spark, folder).collect()}
     assert got == {k: None if t is None else [int(t.startswith("the", i)) for i in range(len(t) - 2)] for k, t in enumerate(TEXTS)}
+
+
+def test_text_code_points_all(spark, folder):
+    got = {r.doc_id: r.codes for r in QUERIES["text_code_points_all"](spark, folder).collect()}
+    assert got == {k: None if t is None else [*map(ord, t)] for k, t in enumerate(TEXTS)}
+
+
+def test_utf8_round_trip_all(spark, folder):
+    got = {r.doc_id: (r.t, r.n) for r in QUERIES["utf8_round_trip_all"](spark, folder).collect()}
+    assert {k: t for k, (t, _) in got.items()} == dict(enumerate(TEXTS))
+    assert all(n == len(t.encode()) for t, n in got.values() if t is not None)
