@@ -50,6 +50,15 @@ def matmul_join(spark, d):
     return rounded(linalg.matmul_sparse(x, transpose(x)), 3)
 
 
+@query("WITH e AS (SELECT vec_id AS i, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) AS k FROM embeddings) SELECT a.k - 1 AS i0, b.k - 1 AS i1, round(sum(a.v * b.v), 3) + 0 AS v FROM e a JOIN e b USING (i) GROUP BY ALL")
+def matmul_join_all(spark, d):
+    """The sparse product over all vectors."""
+    from lattica.operators.structural import transpose
+
+    x = vectors(spark, d)
+    return rounded(linalg.matmul_sparse(transpose(x), x), 3)
+
+
 @query("WITH e AS (SELECT vec_id AS i, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS k FROM embeddings) SELECT a.k - 1 AS i0, b.k - 1 AS i1, round(sum(CAST(a.v AS DOUBLE) * b.v), 2) + 0 AS v FROM e a JOIN e b USING (i) GROUP BY ALL")
 def matmul_single(spark, d):
     """The accelerator's product in single precision."""

@@ -27,3 +27,20 @@ def test_utf8_round_trip_all(spark, folder):
     got = {r.doc_id: (r.t, r.n) for r in QUERIES["utf8_round_trip_all"](spark, folder).collect()}
     assert {k: t for k, (t, _) in got.items()} == dict(enumerate(TEXTS))
     assert all(n == len(t.encode()) for t, n in got.values() if t is not None)
+
+
+@pytest.fixture(scope="module")
+def vectors(spark, tmp_path_factory):
+    """120 vectors of 64 small whole numbers, and 400 events of few users, one of them hot and some past the vectors."""
+    out = str(tmp_path_factory.mktemp("vectors"))
+    rows = [[float((7 * i + k * k) % 5 - 2) for k in range(64)] for i in range(120)]
+    users = [3 if i % 2 else i % 150 for i in range(400)]
+    spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<float>").repartition(3).write.parquet(f"{out}/embeddings.parquet")
+    spark.createDataFrame([(i, u, 1.0) for i, u in enumerate(users)], "event_id long, user_id long, value double").repartition(3).write.parquet(f"{out}/events.parquet")
+    return out, rows, users
+
+
+def test_matmul_join_all(spark, vectors):
+    out, rows, _ = vectors
+    got = {(r.i0, r.i1): r.v for r in QUERIES["matmul_join_all"](spark, out).collect()}
+    assert got == {(a, b): sum(x[a] * x[b] for x in rows) for a in range(64) for b in range(64)}
