@@ -250,6 +250,13 @@ def select_rows(spark, d):
     return selection.select(DArray(first.select(F.col("event_id").alias("i0"), F.col("user_id").cast("double").alias("v")), (100,)), rows).df
 
 
+@query("SELECT w.event_id AS i0, k AS i1, x AS v FROM events w JOIN " + _V + " ON vec_id = w.user_id % (SELECT count(*) FROM embeddings)")
+def select_rows_all(spark, d):
+    """A row for every event."""
+    rows = vectors(spark, d)
+    return selection.select(values(spark, d, F.expr(f"user_id % {rows.shape[0]}")), rows).df
+
+
 @query("SELECT max(CASE WHEN vec_id = 5 AND k = 63 THEN x END) AS v FROM " + _V)
 def pick(spark, d):
     return spark.createDataFrame([(selection.pick(vectors(spark, d), 5, -1),)], "v double")

@@ -44,3 +44,9 @@ def test_matmul_join_all(spark, vectors):
     out, rows, _ = vectors
     got = {(r.i0, r.i1): r.v for r in QUERIES["matmul_join_all"](spark, out).collect()}
     assert got == {(a, b): sum(x[a] * x[b] for x in rows) for a in range(64) for b in range(64)}
+
+
+def test_select_rows_all(spark, vectors):
+    out, rows, users = vectors
+    got = {(r.i0, r.i1): r.v for r in QUERIES["select_rows_all"](spark, out).collect()}
+    assert got == {(i, k): rows[u % 120][k] for i, u in enumerate(users) for k in range(64)}
