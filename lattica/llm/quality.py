@@ -1,8 +1,9 @@
 """Quality rules as a short-circuit cascade.
 
-Every rule looks at one view of a text and rejects or passes it. A sample of the table tells what each rule costs
-and what share of documents it rejects; the cascade then runs the rules in the order of rejections per second, and
-a text leaves at the first rule that rejects it. The order never changes a verdict, only what it costs.
+Every rule looks at views of a text and rejects or passes it. A sample of the table tells what each view costs and
+which rules reject which documents. The cascade is then built greedily: next comes the rule with the most rejections
+per second among the documents that the rules before it leave, where views that those have paid for cost nothing. A
+text leaves at the first rule that rejects it. The order never changes a verdict, only what it costs.
 
 Defined cases: a null or empty text has no words and is rejected by ``few_words``; documents with equal rows are
 judged alike, row by row; an empty table gives an empty result; other columns pass through unread.
@@ -91,26 +92,38 @@ class Text:
         return max(Counter(self.words).values(), default=0) / max(1, len(self.words))
 
 
+#: Views in an order in which each comes after the one that it is made of.
+VIEWS = {"words": None, "word_chars": "words", "n_symbols": None, "lines": None, "n_dup_lines": "lines", "n_repeat_words": "words", "n_upper": "words", "n_runs": "words", "top_share": "words"}
+
+
 @dataclass(frozen=True)
 class Rule:
+    """views: those that the rule asks for; what they are made of need not be named."""
+
     name: str
+    views: tuple[str, ...]
     rejects: Callable[[Text], bool]
 
+    def needs(self) -> set[str]:
+        return {x for v in self.views for x in (v, VIEWS[v]) if x}
+
 
 #: The base rules of the contract, then the method's own. Thresholds sit far from running prose.
 BASE = (
-    Rule("few_words", lambda t: len(t.words) < MIN_WORDS),
-    Rule("repeated_windows", lambda t: 100 * t.n_repeat_words > MAX_REPEAT_PERCENT * len(t.words)),
+    Rule("few_words", ("words",), lambda t: len(t.words) < MIN_WORDS),
+    Rule("repeated_windows", ("n_repeat_words",), lambda t: 100 * t.n_repeat_words > MAX_REPEAT_PERCENT * len(t.words)),
 )
 RULES = (
     *BASE,
-    Rule("symbols", lambda t: 5 * t.n_symbols > len(t.words)),
-    Rule("duplicate_lines", lambda t: 2 * t.n_dup_lines > len(t.lines)),
-    Rule("word_length", lambda t: not 2 * len(t.words) <= t.word_chars <= 15 * len(t.words)),
-    Rule("shouting", lambda t: 2 * t.n_upper > len(t.words)),
-    Rule("word_runs", lambda t: 5 * t.n_runs > len(t.words)),
-    Rule("one_word", lambda t: 10 * t.top_share > 4),
+    Rule("symbols", ("n_symbols", "words"), lambda t: 5 * t.n_symbols > len(t.words)),
+    Rule("duplicate_lines", ("n_dup_lines",), lambda t: 2 * t.n_dup_lines > len(t.lines)),
+    Rule("word_length", ("word_chars",), lambda t: not 2 * len(t.words) <= t.word_chars <= 15 * len(t.words)),
+    Rule("shouting", ("n_upper",), lambda t: 2 * t.n_upper > len(t.words)),
+    Rule("word_runs", ("n_runs",), lambda t: 5 * t.n_runs > len(t.words)),
+    Rule("one_word", ("top_share",), lambda t: 10 * t.top_share > 4),
 )
+#: The views behind the figures that measures returns of every text.
+FIGURES = frozenset({"words", "word_chars", "n_symbols", "lines", "n_dup_lines", "n_repeat_words"})
 
 
 def passes(text: Text, rules: tuple[Rule, ...]) -> bool:
@@ -118,10 +131,32 @@ def passes(text: Text, rules: tuple[Rule, ...]) -> bool:
     return not any(rule.rejects(text) for rule in rules)
 
 
-def cascade_order(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000) -> tuple[Rule, ...]:
-    """The rules by rejections per second on about sample_rows rows (a bound on the sample, not on df).
+def greedy_order(rules: tuple[Rule, ...], found: list[tuple[int, int, dict[str, float]]], paid: frozenset[str] = frozenset()) -> tuple[Rule, ...]:
+    """The rules by marginal rejections per marginal second.
 
-    The sample is measured where it lies; only seconds and rejections of each rule come to the driver.
+    found: (bits of the rules that reject, documents, seconds of each view) of documents with the same verdicts. paid:
+    views that are made in any case. Rules that reject none of what is left come last, the cheapest first.
+    """
+    left, have, out = list(found), set(paid), []
+    rest = list(range(len(rules)))
+    while rest:
+        worth = {}
+        for k in rest:
+            seconds = sum(x.get(v, 0.0) for _, _, x in left for v in rules[k].needs() - have)
+            rejected = sum(n for bits, n, _ in left if bits >> k & 1)
+            worth[k] = (rejected / (seconds + 1e-9 * (1 + sum(n for _, n, _ in left))), -seconds, -k)
+        best = max(rest, key=worth.__getitem__)
+        rest.remove(best)
+        out.append(rules[best])
+        have |= rules[best].needs()
+        left = [x for x in left if not x[0] >> best & 1]
+    return tuple(out)
+
+
+def cascade_order(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000, paid: frozenset[str] = frozenset()) -> tuple[Rule, ...]:
+    """greedy_order of the rules on about sample_rows rows (a bound on the sample, not on df).
+
+    The sample is measured where it lies; only seconds and counts of documents with the same verdicts come to the driver.
     """
     total = df.count()
     if not total:
@@ -129,33 +164,38 @@ def cascade_order(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = R
     rows = df.select(text).sample(min(1.0, sample_rows / total), seed=7)
 
     def measure(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seconds, rejected = [0.0] * len(rules), [0] * len(rules)
+        counts: Counter[int] = Counter()
+        seconds: Counter[tuple[int, str]] = Counter()
         for part in parts:
             for value in part.column(0).to_pylist():
-                for k, rule in enumerate(rules):
-                    fresh = Text(value)  # a rule's cost holds the views it needs
+                t, spent = Text(value), {}
+                for view in VIEWS:  # each after what it is made of, so a view's time is its own
                     began = time.perf_counter()
-                    rejected[k] += bool(rule.rejects(fresh))
-                    seconds[k] += time.perf_counter() - began
-        yield pa.RecordBatch.from_pydict({"rule": list(range(len(rules))), "seconds": seconds, "rejected": rejected})
+                    getattr(t, view)
+                    spent[view] = time.perf_counter() - began
+                bits = sum(1 << k for k, rule in enumerate(rules) if rule.rejects(t))
+                counts[bits] += 1
+                seconds.update({(bits, v): x for v, x in spent.items()})
+        keys = list(seconds)
+        yield pa.RecordBatch.from_pydict({"bits": pa.array([b for b, _ in keys], type=pa.int64()), "view": pa.array([v for _, v in keys], type=pa.string()), "documents": pa.array([counts[b] for b, _ in keys], type=pa.int64()), "seconds": pa.array([seconds[k] for k in keys], type=pa.float64())})
 
-    found = rows.mapInArrow(per_task(measure, 1000), "rule long, seconds double, rejected long").groupBy("rule").agg(F.sum("seconds").alias("seconds"), F.sum("rejected").alias("rejected")).collect()
-    worth = {r["rule"]: r["rejected"] / max(r["seconds"], 1e-9) for r in found}
-    return tuple(rules[k] for k in sorted(range(len(rules)), key=lambda k: (-worth.get(k, 0.0), k)))
+    by: dict[int, tuple[int, dict[str, float]]] = {}
+    for r in rows.mapInArrow(per_task(measure, 1000), "bits long, view string, documents long, seconds double").groupBy("bits", "view").agg(F.sum("documents").alias("documents"), F.sum("seconds").alias("seconds")).collect():
+        by.setdefault(r["bits"], (r["documents"], {}))[1][r["view"]] = r["seconds"]
+    return greedy_order(rules, [(bits, n, x) for bits, (n, x) in sorted(by.items())], paid)
 
 
 def measures(df: DataFrame, doc_id: str = "doc_id", text: str = "text", order: tuple[Rule, ...] | None = None) -> DataFrame:
     """The figures and verdicts of every document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept."""
-    order = order or cascade_order(df, text)
-    own = tuple(r for r in order if r.name not in {b.name for b in BASE})
+    order = order or cascade_order(df, text, paid=FIGURES)
 
     def judge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             out: dict[str, list] = {k: [] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")}
             for value in part.column(1).to_pylist():
                 t = Text(value)
-                failed = not passes(t, BASE)
-                for k, v in zip(out, (len(t.words), t.word_chars, t.n_symbols, t.n_dup_lines, t.n_repeat_words, failed, not failed and passes(t, own)), strict=True):
+                kept, sound = passes(t, order), passes(t, BASE)
+                for k, v in zip(out, (len(t.words), t.word_chars, t.n_symbols, t.n_dup_lines, t.n_repeat_words, not sound, kept and sound), strict=True):
                     out[k].append(v)
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(v, type=pa.bool_() if k in ("base_failed", "kept") else pa.int64()) for k, v in out.items())], names=["doc_id", *out])
 

@@ -42,6 +42,19 @@ def test_sample_order_holds_every_rule(spark, edge_docs):
     assert {r.name for r in quality.cascade_order(edge_docs)} == {r.name for r in quality.RULES}
 
 
+def test_greedy_order_counts_paid_views_and_rejected_documents():
+    by = {r.name: k for k, r in enumerate(quality.RULES)}
+    bit = lambda *names: sum(1 << by[n] for n in names)
+    cost = {v: 1.0 for v in quality.VIEWS} | {"words": 10.0, "n_symbols": 5.0}
+    found = [(bit("few_words", "word_length"), 10, cost), (bit("symbols"), 3, cost), (bit("duplicate_lines"), 8, cost), (0, 50, cost)]
+    names = [r.name for r in quality.greedy_order(quality.RULES, found)]
+    assert names[0] == "duplicate_lines"  # 8 in 2 x 4 seconds; few_words 10 in 10 x 4
+    assert names[1] == "few_words" and names[2] == "symbols"  # its words are paid; word_length rejects none of what is left
+    assert set(names) == set(by)
+    paid = [r.name for r in quality.greedy_order(quality.RULES, found, quality.FIGURES)]
+    assert paid[0] == "few_words"  # all views are there, so the most rejections come first
+
+
 def test_junk_goes_and_prose_stays():
     prose = " ".join(f"word{k} of{k} some{k}" for k in range(40))
     assert quality.passes(Text(prose), quality.RULES)
