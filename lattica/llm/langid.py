@@ -6,9 +6,9 @@ learned too. Training sequences splice runs of words of different languages, so
 text changes. Forward-backward gives every word a distribution over the languages; a text's score for a language is
 the mean over its words.
 
-The model is fitted on a bounded sample: a passage of FRAGMENT characters from about PER_LANGUAGE documents of each
-language, drawn by a hash of doc_id from the rows that the caller allows. Prediction reads whole texts of all rows and
-nothing but the text.
+The model is fitted on a bounded sample: about PER_LANGUAGE documents of each language, drawn by a hash of doc_id from
+the rows that the caller allows, each giving RUNS runs of words from all over its text. Prediction reads whole texts of
+all rows and nothing but the text.
 
 Defined cases: a null text and one without letters are `und` with score 0; equal texts are predicted alike; if no row
 may be learned from, every text is `und`; an empty table gives an empty result; other columns aren't read.
@@ -24,24 +24,37 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import bounded_sample, crc_rest, per_task
 
 BUCKETS = 1 << 16
-PER_LANGUAGE, FRAGMENT = 400, 1500
+#: Documents of a language to learn from; runs of words, spread over a whole text, and words of a run that one gives.
+PER_LANGUAGE, RUNS, RUN = 400, 8, 32
+#: Words in the lexicon of a language at most.
 LEXICON = 400
 #: Texts that a worker holds as words at once; enough of them that long ones are few to a batch.
 SLICE_ROWS = 2500
 UNKNOWN = "und"
 
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD, _LETTERS = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}+")
 
 
 def tokens(text: str | None) -> list[str]:
     """The lower-cased letter runs of a text."""
-    return _WORD.findall(text.lower()) if text else []
+    found = _WORD.findall(text.lower()) if text else []
+    return found if all(map(str.isalpha, found)) else [y for x in found for y in _LETTERS.findall(x)]  # without such as fractions
+
+
+def sampled_runs(text: str | None, seed: int) -> list[str]:
+    """Runs of a text's words at even distances over the whole of it, seed saying where they begin; all words of a short text."""
+    words = tokens(text)
+    if len(words) <= RUNS * RUN:
+        return words
+    step = len(words) // RUNS
+    return [w for k in range(RUNS) for w in words[k * step + seed % (step - RUN + 1) :][:RUN]]
 
 
 def features(word: str) -> list[int]:
@@ -113,11 +126,11 @@ class Model:
         out = ahead * behind
         return out / out.sum(axis=1, keepdims=True)
 
-    def predict(self, texts: list[str | None], most_words: int = 300_000) -> tuple[list[str], np.ndarray]:
-        """(language, score) of each text."""
-        named, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    def predict(self, texts: list[str | None], most_words: int = 300_000) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(language, score, how sure its words' own languages are on average) of each text."""
+        named, score, sure = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         if not self.languages:
-            return named, score
+            return named, score, sure
         cut = [tokens(x) for x in texts]
         order = sorted((k for k, x in enumerate(cut) if x), key=lambda k: -len(cut[k]))
         while order:  # texts of like length together, about most_words at a time
@@ -128,11 +141,13 @@ class Model:
             some, order = order[:n], order[n:]
             sizes = np.array([len(cut[k]) for k in some])
             found = self.marginals(self.emissions([w for k in some for w in cut[k]]), sizes)
-            mean = np.add.reduceat(found.astype(np.float64), np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
+            begin = np.cumsum(sizes) - sizes
+            mean = np.add.reduceat(found.astype(np.float64), begin, axis=0) / sizes[:, None]
+            sure[some] = np.add.reduceat(found.max(axis=1).astype(np.float64), begin) / sizes
             for k, row in zip(some, mean, strict=True):
-                best = int(row.argmax())
+                best = int(row.argmax())  # the first of equals
                 named[k], score[k] = self.languages[best], min(1.0, float(row[best]))
-        return named, score
+        return named, score, sure
 
 
 def fit(passages: dict[str, list[list[str]]], sequences: int = 2400, length: int = 40, epochs: int = 4, rate: float = 0.25) -> Model:
@@ -210,16 +225,21 @@ def fit(passages: dict[str, list[list[str]]], sequences: int = 2400, length: int
 
 
 def train(df: DataFrame, allowed: Column | None = None, per_language: int = PER_LANGUAGE, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Fits a model on a passage of about per_language rows of each language. allowed: a condition on the rows to learn from."""
+    """Fits a model on words of about per_language rows of each language. allowed: a condition on the rows to learn from."""
     rows = df.where(F.col(lang).isNotNull() & F.col(doc_id).isNotNull())
     if allowed is not None:
         rows = rows.where(allowed)
     chosen = bounded_sample(rows.select(F.col(doc_id).alias("__id"), F.col(lang).cast("string").alias("__lang"), F.col(text).alias("__text")), "__id", "__lang", per_language)
-    place = F.pmod(F.xxhash64(F.col("__id"), F.lit("place")), F.greatest(F.length("__text") - FRAGMENT, F.lit(1)).cast("long"))
-    found = chosen.select("__id", "__lang", F.substring("__text", place.cast("int") + 1, F.lit(FRAGMENT)).alias("passage")).where("passage is not null").collect()
+
+    def draw(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            words = [sampled_runs(x, seed) for x, seed in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(words, type=pa.list_(pa.string()))], names=["id", "lang", "words"])
+
+    found = chosen.select(F.col("__id").cast("string"), "__lang", "__text", F.pmod(F.xxhash64(F.col("__id"), F.lit("place")), F.lit(1 << 30))).mapInArrow(per_task(draw, 1000), "id string, lang string, words array<string>").collect()
     passages: dict[str, list[list[str]]] = {}
-    for r in sorted(found, key=lambda r: (r["__lang"], r["__id"], r["passage"])):
-        passages.setdefault(r["__lang"], []).append(tokens(r["passage"]))
+    for r in sorted(found, key=lambda r: (r["lang"], r["id"], r["words"])):
+        passages.setdefault(r["lang"], []).append(r["words"])
     return fit(passages)
 
 
@@ -230,21 +250,26 @@ def predictions(df: DataFrame, model: Model, held_out: Column, doc_id: str = "do
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value.fresh()
         for part in parts:
-            named, score = model.predict(part.column(2).to_pylist())
+            named, score, _ = model.predict(part.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(named, type=pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return df.select(F.col(doc_id).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text")).mapInArrow(per_task(run, SLICE_ROWS), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(df: DataFrame, model: Model, least: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows of df, with all their columns, whose text has a language with at least that score."""
+    """The rows of df, with all their columns, whose words have a language each with at least that probability on average.
+
+    A text of several languages stays if its words are clear. Without any language to know, all rows stay.
+    """
+    if not model.languages:
+        return df
     shared, place = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value.fresh()
         for part in parts:
-            named, score = model.predict(part.column(place).to_pylist())
-            yield part.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(named, score, strict=True)], type=pa.bool_()))
+            named, _, sure = model.predict(part.column(place).to_pylist())
+            yield part.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(named, sure, strict=True)], type=pa.bool_()))
 
     return df.mapInArrow(per_task(run, SLICE_ROWS), df.schema)
 

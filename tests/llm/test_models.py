@@ -51,6 +51,31 @@ def test_code_switched_words(tables, languages):
     assert np.mean(found[:30] == languages.languages.index(a)) > 0.9 and np.mean(found[30:] == languages.languages.index(b)) > 0.9
 
 
+def test_predictions_against_brute_force(spark, languages):
+    """Every word's distribution by sums over all paths, for whole short texts; ties go to the first language."""
+    docs = {k: x for k, x in enumerate(["one two", "der die das und", "la casa", "a", "one der la"])}
+    rows = langid.predictions(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), languages, F.lit(False)).collect()
+    for r in rows:
+        words = langid.tokens(docs[r.doc_id])
+        emitted, total = languages.emissions(words).astype(np.float64), np.zeros(len(languages.languages))
+        weight = 0.0
+        for path in itertools.product(range(len(total)), repeat=len(words)):
+            w = np.exp(languages.start[path[0]] + sum(emitted[k, y] for k, y in enumerate(path)) + sum(languages.moves[a, b] for a, b in itertools.pairwise(path)))
+            weight += w
+            total += w * np.bincount(path, minlength=len(total)) / len(words)
+        assert r.lang_pred == languages.languages[int((total / weight).argmax())] and abs(r.score - (total / weight).max()) < 1e-4
+    same = langid.Model(["a", "b"], np.zeros((langid.BUCKETS, 2), dtype=np.float32), {}, np.zeros((1, 2), dtype=np.float32), np.zeros(2), np.zeros((2, 2)))
+    assert same.predict(["x y"])[0] == ["a"]
+
+
+def test_training_words_come_from_the_whole_text():
+    text = " ".join("".join(chr(97 + int(c)) for c in str(k)) for k in range(5000))
+    words, all_words = langid.sampled_runs(text, 12345), langid.tokens(text)
+    places = [all_words.index(w) for w in words]
+    assert len(words) == langid.RUNS * langid.RUN and min(places) < 1000 and max(places) > 4000
+    assert langid.sampled_runs("a b c", 7) == ["a", "b", "c"] and langid.sampled_runs(None, 7) == []
+
+
 def test_language_edges(spark, languages, edge_docs, no_docs):
     rows = langid.predictions(edge_docs, languages, F.lit(False)).collect()
     assert len(rows) == edge_docs.count()
@@ -58,7 +83,10 @@ def test_language_edges(spark, languages, edge_docs, no_docs):
     assert all(by[k].lang_pred == "und" and by[k].score == 0 for k in (0, 1, 2)) and by[3].lang_pred != "und"
     assert langid.keep_identified(edge_docs, languages).columns == edge_docs.columns
     assert langid.predictions(no_docs, languages, F.lit(True)).count() == 0
+    odd = spark.createDataFrame([(1, "½"), (2, "² 12"), (3, "Ⅷ ⅷ"), (4, "x½")], "doc_id long, text string")
+    assert [r.lang_pred == "und" for r in langid.predictions(odd, languages, F.lit(False)).orderBy("doc_id").collect()] == [True, True, True, False]
     nothing = langid.train(no_docs)
+    assert langid.keep_identified(edge_docs, nothing).count() == edge_docs.count()
     assert {r.lang_pred for r in langid.predictions(edge_docs, nothing, F.lit(False)).collect()} == {"und"}
 
 
