@@ -66,7 +66,7 @@ def _byte_symbols() -> dict[str, int]:
 
 @cache
 def byte_level(path: str) -> Callable[[str], list[int]]:
-    """Encoder of a byte-level `tokenizers` file: text -> ids, special tokens' strings being ordinary text.
+    """Encoder of a byte-level `tokenizers` file: text without special tokens' strings -> ids.
 
     Where the file's merges are in the order of its ids, ranks say all, and the faster library gives the same ids.
     """
@@ -80,11 +80,23 @@ def byte_level(path: str) -> Callable[[str], list[int]]:
     if [vocab.get(a + b) for a, b in merges] == list(range(len(singles), len(vocab))) and {vocab[k] for k in singles} == set(range(256)) and not (spec.get("pre_tokenizer") or {}).get("add_prefix_space"):
         ranks = {bytes(symbols[c] for c in k): v for k, v in vocab.items()}
         return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return whole_text(path)
+
+
+@cache
+def whole_text(path: str) -> Callable[[str], list[int]]:
+    """The library's own encoder of a `tokenizers` file; strings of special tokens make their ids."""
     from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
-    return lambda text: whole.encode(text, add_special_tokens=False).ids
+    library = Tokenizer.from_file(path)
+    return lambda text: library.encode(text, add_special_tokens=False).ids
+
+
+@cache
+def special_strings(path: str) -> list[str]:
+    """The strings that a `tokenizers` file takes out of a text before it splits it."""
+    with open(path, encoding="utf-8") as f:
+        return [x["content"] for x in json.load(f).get("added_tokens", [])]
 
 
 @cache
@@ -96,4 +108,4 @@ def id_kind(path: str) -> str:
     return "H" if most < 1 << 16 else "I"
 
 
-__all__ = ["PATTERN", "ChunkCache", "byte_level", "chunks", "id_kind", "pretokens", "read_ranks"]
+__all__ = ["PATTERN", "ChunkCache", "byte_level", "chunks", "id_kind", "pretokens", "read_ranks", "special_strings", "whole_text"]

@@ -7,7 +7,7 @@ leaves a boundary record on each side. Only the last window can be short, so pad
 
 The order is that of the written partitions, fixed by the first pass, so a task that runs again gives the same pieces.
 
-Defined cases: a null or empty text is the end id alone; equal rows are packed one by one; an empty table gives an
+Defined cases: a null or empty text is the end id alone; the string of a special token in a text makes that token's id; equal rows are packed one by one; an empty table gives an
 empty result; other columns aren't read.
 """
 
@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.chunks import ChunkCache, byte_level, id_kind
+from lattica.llm.chunks import ChunkCache, byte_level, id_kind, special_strings, whole_text
 from lattica.llm.common import per_task, stored
 
 #: Fixed values of the contract.
@@ -56,11 +56,16 @@ def encoded(df: DataFrame, path: str, doc_id: str, text: str, end: int) -> DataF
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, place = TaskContext.get().partitionId(), 0
-        one = byte_level(path)
+        one, special = byte_level(path), special_strings(path)
         cache = ChunkCache(lambda some: [_little(one(x), kind) for x in some])
         last = _little([end], kind)
         for some in parts:
-            ids = [b"".join(x) + last for x in cache.batch(some.column(1).to_pylist())]
+            texts = some.column(1).to_pylist()
+            marked = [k for k, x in enumerate(texts) if x and any(y in x for y in special)]  # chunks don't hold for these
+            whole = {k: _little(whole_text(path)(texts[k]), kind) for k in marked}
+            for k in marked:
+                texts[k] = None
+            ids = [whole.get(k, b"".join(x)) + last for k, x in enumerate(cache.batch(texts))]
             sizes = np.array([len(x) // width for x in ids], dtype=np.int64)
             places = place + np.cumsum(sizes) - sizes
             place += int(sizes.sum())

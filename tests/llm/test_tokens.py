@@ -60,10 +60,9 @@ def test_digests_of_a_table(spark, library, edge_docs, no_docs):
 def test_byte_level_against_tokenizers():
     path = packing.default_path()
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     one = chunks.byte_level(path)
     cache = chunks.ChunkCache(lambda some: [one(x) for x in some])
-    texts = [*strange_texts(), *EDGE_TEXTS]
+    texts = [(x or "").replace("<|endoftext|>", "<|end|>") for x in [*strange_texts(), *EDGE_TEXTS]]
     for text, parts in zip(texts, cache.batch(texts), strict=True):
         assert [k for p in parts for k in p] == whole.encode(text or "", add_special_tokens=False).ids
 
@@ -100,6 +99,14 @@ def test_packing_round_trip(spark, no_docs):
     assert packing.pack(no_docs).count() == 0
 
 
+def test_packing_special_strings(spark):
+    whole = Tokenizer.from_file(packing.default_path())
+    texts = {k: x for k, x in enumerate(["<|endoftext|>", "a <|endoftext|> b", "<|endoftext|><|endoftext|>\n x", "<|endoftext", *strange_texts()])}
+    assert 50256 in whole.encode(texts[1], add_special_tokens=False).ids
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    check_pieces(packing.pack(df).collect(), texts, lambda t: [*whole.encode(t, add_special_tokens=False).ids, 1])
+
+
 def test_packing_repeated_rows(spark, edge_docs):
     pieces = packing.pack(edge_docs).collect()
     assert sum(p.length for p in pieces if p.doc_id == 3) == 2 * next(p.doc_tokens for p in pieces if p.doc_id == 3)
