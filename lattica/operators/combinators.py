@@ -6,11 +6,12 @@ import time
 from collections.abc import Callable
 from typing import Any
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lattica.darray import DArray
-from lattica.errors import ShapeError
+from lattica.errors import ArrayError, ShapeError
 from lattica.functions.numeric import INVERSES, INVERSES_RIGHT
 from lattica.operators.fold import right_aggregate
 from lattica.operators.selection import replicate
@@ -138,14 +139,21 @@ def while_(f: Fn, g: Fn, limit: int = 10_000) -> Fn:
 
 
 def catch(f: Fn, g: Fn) -> Fn:
-    """g of the arguments if f raises. Plans are lazy, so f's result is made for the check."""
+    """g of the arguments if f raises an error of values or shapes. Plans are lazy, so f's result is made for the check.
+
+    What befalls the cluster, such as a lost executor, is no such error and goes on.
+    """
     def run(*a: Any) -> Any:
         try:
             out = f(*a)
             if isinstance(out, DArray):
                 out.df.write.format("noop").mode("overwrite").save()
             return out
-        except Exception:
+        except (ArrayError, ArithmeticError):
+            return g(*a)
+        except PySparkException as e:  # what a plan itself raises
+            if "USER_RAISED_EXCEPTION" not in str(e):
+                raise
             return g(*a)
 
     return run

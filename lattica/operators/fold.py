@@ -48,6 +48,12 @@ def fold_frame(name: str, x: DArray) -> DataFrame:
     return x.df.agg(F.coalesce(right_aggregate(name, F.col("v"), F.col("i0")), F.lit(IDENTITY[name])).alias("v"))
 
 
+def folds_frame(made: dict[str, tuple[str, Column]], x: DArray) -> DataFrame:
+    """Several folds of one list as a DataFrame with one row: name -> (fold, its column of x's rows)."""
+    wide = x.df.select("i0", *(of.alias(name) for name, (_, of) in made.items()))
+    return wide.agg(*(F.coalesce(right_aggregate(how, F.col(name), F.col("i0")), F.lit(IDENTITY[how])).alias(name) for name, (how, _) in made.items()))
+
+
 def insert(name: str, x: DArray) -> DArray:
     """Reduces the leading axis; a result of an empty axis is the identity in every cell."""
     want_rank(x, 1, "an insert")

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from lattica.darray import DArray
 from lattica.errors import ShapeError
 
-BLOCK = 512
+#: Side of a block; blocks of a result that a task holds at once.
+BLOCK, HELD = 512, 32
 
 
 def matmul(w: DArray, x: DArray, kind: str = "double") -> DArray:
@@ -30,15 +31,43 @@ def matmul(w: DArray, x: DArray, kind: str = "double") -> DArray:
     pairs = left.select(F.col("b0").alias("r"), F.col("b1").alias("k"), F.col("cells").alias("a")).join(right.select(F.col("b0").alias("k"), F.col("b1").alias("c"), F.col("cells").alias("b")), "k")
     width, dtype = BLOCK, np.float32 if kind == "float" else np.float64
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def multiply(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Products of blocks, those that meet in a task added up."""
+        held: dict[tuple[int, int], np.ndarray] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for (r, c), m in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([r]), pa.array([c]), pa.array([m.tobytes()], type=pa.binary())], names=["r", "c", "cells"])
+            held.clear()
+
         for part in parts:
             for r, c, a, b in zip(*(part.column(n).to_pylist() for n in ("r", "c", "a", "b")), strict=True):
                 m = np.frombuffer(a, dtype=dtype).reshape(width, width) @ np.frombuffer(b, dtype=dtype).reshape(width, width)
-                i, j = np.divmod(np.arange(width * width), width)
-                keep = (r * width + i < shape[0]) & (c * width + j < shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(r * width + i[keep]), pa.array(c * width + j[keep]), pa.array(m.ravel()[keep].astype(np.float64))], names=["i0", "i1", "v"])
+                held[r, c] = held[r, c] + m if (r, c) in held else m
+                if len(held) > HELD:
+                    yield from out()
+        yield from out()
+
+    def spell(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks that come side by side, added up and spelled out in elements."""
+        at, total = None, np.zeros((width, width))
+        i, j = np.divmod(np.arange(width * width), width)
 
-    made = pairs.mapInArrow(run, "i0 long, i1 long, v double").groupBy("i0", "i1").agg(F.sum("v").alias("v"))
+        def out(r: int, c: int) -> pa.RecordBatch:
+            keep = (r * width + i < shape[0]) & (c * width + j < shape[1])
+            return pa.RecordBatch.from_arrays([pa.array(r * width + i[keep]), pa.array(c * width + j[keep]), pa.array(total.ravel()[keep].astype(np.float64))], names=["i0", "i1", "v"])
+
+        for part in parts:
+            for r, c, cells in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
+                if at not in (None, (r, c)):
+                    yield out(*at)
+                    total = np.zeros((width, width))
+                at, total = (r, c), total + np.frombuffer(cells, dtype=dtype).reshape(width, width)
+        if at is not None:
+            yield out(*at)
+
+    summed = pairs.mapInArrow(multiply, "r long, c long, cells binary").repartition("r", "c").sortWithinPartitions("r", "c")
+    made = summed.mapInArrow(spell, "i0 long, i1 long, v double")
     return DArray(made, shape).with_df(made, shape)
 
 

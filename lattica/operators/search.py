@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,10 @@ from lattica.errors import DomainError, ShapeError
 from lattica.plans.index import dense_index, running
 
 
+#: Edges of bins that an expression holds.
+FEW = 64
+
+
 def key(v: Column, side: str, place: Column, numeric: bool = True) -> Column:
     """A join key under which zeros are equal and not-a-number meets nothing."""
     if not numeric:
@@ -33,11 +38,19 @@ def _like(w: DArray, x: DArray) -> None:
         raise ShapeError("cells have different shapes")
 
 
+def _sides(w: DArray, x: DArray) -> tuple[DataFrame, DataFrame]:
+    """_rows of both. Lists of numbers meet as numbers: zeros are equal in joins, and w's not-a-numbers are left out."""
+    if w.rank == x.rank == 1 and w.kind == x.kind == "n":
+        rows = lambda a: a.df.select(F.col("i0").alias("p"), F.col("v").cast("double").alias("k"))
+        return rows(w).where(~F.isnan("k")), rows(x)
+    return _rows(w, "w"), _rows(x, "x")
+
+
 def index_of(w: DArray, x: DArray) -> DArray:
     """For each cell of x its first place in w, or w's length. The first place is aggregated before the join, so repeats never multiply."""
     _like(w, x)
-    first = _rows(w, "w").groupBy("k").agg(F.min("p").alias("f"))
-    found = _rows(x, "x").join(first, "k", "left")
+    left, right = _sides(w, x)
+    found = right.join(left.groupBy("k").agg(F.min("p").alias("f")), "k", "left")
     return DArray(found.select(F.col("p").alias("i0"), F.coalesce("f", F.lit(w.shape[0])).cast("double").alias("v")), (x.shape[0],))
 
 
@@ -45,7 +58,8 @@ def progressive_index_of(w: DArray, x: DArray) -> DArray:
     """Like index_of, but each cell of w is found once: the n-th equal cell of x meets the n-th of w."""
     _like(w, x)
     nth = F.row_number().over(Window.partitionBy("k").orderBy("p"))
-    left, right = _rows(x, "x").withColumn("n", nth), _rows(w, "w").withColumn("n", nth).withColumnRenamed("p", "f")
+    known, asked = _sides(w, x)
+    left, right = asked.withColumn("n", nth), known.withColumn("n", nth).withColumnRenamed("p", "f")
     found = left.join(right, ["k", "n"], "left")
     return DArray(found.select(F.col("p").alias("i0"), F.coalesce("f", F.lit(w.shape[0])).cast("double").alias("v")), (x.shape[0],))
 
@@ -53,8 +67,8 @@ def progressive_index_of(w: DArray, x: DArray) -> DArray:
 def member(w: DArray, x: DArray) -> DArray:
     """1 for each cell of w that occurs in x."""
     _like(w, x)
-    there = _rows(x, "x").select("k").distinct().withColumn("f", F.lit(1.0))
-    found = _rows(w, "w").join(there, "k", "left")
+    known, asked = _sides(x, w)
+    found = asked.join(known.select("k").distinct().withColumn("f", F.lit(1.0)), "k", "left")
     return DArray(found.select(F.col("p").alias("i0"), F.coalesce("f", F.lit(0.0)).alias("v")), (w.shape[0],))
 
 
@@ -62,8 +76,15 @@ def bins(w: DArray, x: DArray, up: bool = True) -> DArray:
     """For each element of x the number of elements of sorted w that come before or equal it.
 
     Both lists are tagged and counted together in one order by value: w's running count, split into blocks of x's
-    range, needs no pairs. The order is checked first.
+    range, needs no pairs. The order is checked first. Up to FEW edges are compared in the expression itself.
     """
+    if w.shape[0] <= FEW:  # a number of edges that any plan holds
+        edges = [r["v"] for r in w.df.orderBy("i0").select("v").collect()]
+        if any(a > b if up else a < b for a, b in pairwise(edges)):
+            raise DomainError("bins must be sorted")
+        v = F.col("v")
+        counted = reduce(Column.__add__, (F.when(F.lit(e) <= v if up else (F.lit(e) >= v) | F.isnan(v), 1).otherwise(0) for e in edges), F.lit(0))
+        return x.with_df(x.df.withColumn("v", counted.cast("double")))
     lag = w.df.select(F.col("i0"), F.col("v").alias("a")).join(w.df.select((F.col("i0") - 1).alias("i0"), F.col("v").alias("b")), "i0")
     if lag.where("a > b" if up else "a < b").limit(1).count():
         raise DomainError("bins must be sorted")
@@ -86,17 +107,16 @@ def _last_seen(df: DataFrame, column: str) -> DataFrame:
 def asof(w: DataFrame, x: DataFrame, on: str) -> DataFrame:
     """x's rows with the columns of the last row of w whose `on` is not later; rows of x without one are left out.
 
-    One sort puts both sides in order and a running maximum carries the place of w's last row on, so there are no
-    pairs and no partition of all rows. Of w's rows with equal `on` the last by the other columns counts.
+    One sort puts both sides in order and a running maximum carries w's last row on, so there are no pairs, no second
+    join and no partition of all rows. Of w's rows with equal `on` the last by the other columns counts.
     """
     order = [c for c in w.columns if c != on]
     both = w.select(F.col(on).alias("__t"), F.lit(0).alias("__s"), F.struct(*order).alias("__w"), F.lit(None).cast(x.select(F.struct("*")).schema[0].dataType).alias("__x")).unionByName(
         x.select(F.col(on).alias("__t"), F.lit(1).alias("__s"), F.lit(None).cast(w.select(F.struct(*order)).schema[0].dataType).alias("__w"), F.struct(*x.columns).alias("__x"))
     )
     placed, _ = dense_index(both, ["__t", "__s", "__w"], "__at")
-    marked = running(placed.withColumn("__m", F.when(F.col("__s") == 0, F.col("__at")).otherwise(F.lit(-1).cast("long"))), "__at", "__m", "max")
-    found = marked.where("__s = 1 AND __m >= 0").select("__m", "__x")
-    return found.join(placed.where("__s = 0").select(F.col("__at").alias("__m"), "__w"), "__m").select("__x.*", "__w.*")
+    marked = running(placed.withColumn("__m", F.when(F.col("__s") == 0, F.struct("__at", "__w"))).drop("__w"), "__at", "__m", "max")
+    return marked.where("__s = 1 AND __m IS NOT NULL").select("__x.*", "__m.__w.*")
 
 
 def find(w: str, text: Column) -> Column:

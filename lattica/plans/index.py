@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses spark.checkpoint.dir where it is set, else a folder of this session."""
+    """Uses spark.checkpoint.dir where it is set, else a folder of this session, which only a local master may do."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         path = sc.getConf().get("spark.checkpoint.dir") or None
         if path is None:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             path = tempfile.mkdtemp(prefix="lattica-")
             atexit.register(shutil.rmtree, path, ignore_errors=True)
         sc.setCheckpointDir(path)

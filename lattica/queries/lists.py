@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lattica.darray import DArray, Engine
@@ -42,7 +44,7 @@ def file_lines(spark, d):
     from lattica.plans.index import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/lines"
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/lines-{uuid.uuid4().hex}"
     files.write_lines(table(spark, d, "region").orderBy("r_regionkey").coalesce(1), "r_name", folder)
     return files.lines(spark, folder)
 
@@ -53,14 +55,14 @@ def deal(spark, d):
     return x.agg(F.count("*").alias("n"), F.countDistinct("v").alias("u"), F.min("v").cast("long").alias("low"), F.max("v").cast("long").alias("high"))
 
 
-@query()
+@query("SELECT 10000 AS n, 6 AS u, 0.0::DOUBLE AS low, 5.0::DOUBLE AS high")
 def random_range(spark, d):
-    return files.random_range(spark, 10_000, 6, 42).df
+    return files.random_range(spark, 10_000, 6, 42).df.agg(F.count("*").alias("n"), F.countDistinct("v").alias("u"), F.min("v").alias("low"), F.max("v").alias("high"))
 
 
-@query()
+@query("SELECT 100 AS n, 100 AS u, true AS inside")
 def random_subset(spark, d):
-    return files.subset(spark, 100, 10_000, 42).df
+    return files.subset(spark, 100, 10_000, 42).df.agg(F.count("*").alias("n"), F.countDistinct("v").alias("u"), F.every((F.col("v") >= 0) & (F.col("v") < 10_000)).alias("inside"))
 
 
 # structural
@@ -243,15 +245,8 @@ def select_cells(spark, d):
     return selection.select(at, x).df
 
 
-@query("SELECT w.event_id AS i0, k AS i1, x AS v FROM events w JOIN " + _V + " ON vec_id = w.user_id WHERE w.event_id < 100 AND w.user_id < (SELECT count(*) FROM embeddings)")
-def select_rows(spark, d):
-    rows = vectors(spark, d)
-    first = table(spark, d, "events").where(f"event_id < 100 AND user_id < {rows.shape[0]}")
-    return selection.select(DArray(first.select(F.col("event_id").alias("i0"), F.col("user_id").cast("double").alias("v")), (100,)), rows).df
-
-
 @query("SELECT w.event_id AS i0, k AS i1, x AS v FROM events w JOIN " + _V + " ON vec_id = w.user_id % (SELECT count(*) FROM embeddings)")
-def select_rows_all(spark, d):
+def select_rows(spark, d):
     """A row for every event."""
     rows = vectors(spark, d)
     return selection.select(values(spark, d, F.expr(f"user_id % {rows.shape[0]}")), rows).df
@@ -328,15 +323,17 @@ def table_times(spark, d):
     return pervasive.table(num.multiply, e.iota(200).map(lambda v: v + 1), e.iota(150).map(lambda v: v + 1)).df
 
 
-@query("SELECT doc_id, [CAST(substr(text, CAST(i AS INTEGER), 3) = 'the' AS INTEGER) FOR i IN range(1, length(text) - 1)] AS flags FROM documents WHERE length(text) BETWEEN 3 AND 600")
+@query(
+    "WITH p AS (SELECT doc_id, length(piece) + 3 AS n, k FROM (SELECT doc_id, unnest(string_split(text, 'the')) AS piece, generate_subscripts(string_split(text, 'the'), 1) AS k FROM documents)), "
+    "q AS (SELECT doc_id, sum(n) OVER (PARTITION BY doc_id ORDER BY k) - 3 AS place, k = max(k) OVER (PARTITION BY doc_id) AS last FROM p), "
+    "h AS (SELECT doc_id, count(*) AS hits, CAST(sum(place) AS BIGINT) AS places FROM q WHERE NOT last GROUP BY doc_id) "
+    "SELECT doc_id, CAST(CASE WHEN text IS NOT NULL THEN greatest(length(text) - 2, 0) END AS BIGINT) AS n, CASE WHEN text IS NOT NULL THEN coalesce(hits, 0) END AS hits, CASE WHEN text IS NOT NULL THEN coalesce(places, 0) END AS places FROM documents LEFT JOIN h USING (doc_id)"
+)
 def find_text(spark, d):
-    return table(spark, d, "documents").where("length(text) BETWEEN 3 AND 600").select("doc_id", search.find("the", F.col("text")).alias("flags"))
-
-
-@query()
-def find_text_all(spark, d):
-    """Texts of every length."""
-    return table(spark, d, "documents").select("doc_id", search.find("the", F.col("text")).alias("flags"))
+    """Of the flags of every whole text their number, the number of ones and the sum of their places."""
+    flags = table(spark, d, "documents").select("doc_id", search.find("the", F.col("text")).alias("flags"))
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, v: a + v)
+    return flags.select("doc_id", F.when(F.col("flags").isNotNull(), F.size("flags")).cast("long").alias("n"), total(F.col("flags")).alias("hits"), total(F.transform("flags", lambda v, k: v.cast("long") * k)).alias("places"))
 
 
 @query("SELECT a.event_id AS i0, CAST(a.user_id % 3 = 1 AND b.user_id % 3 = 2 AS INTEGER) * 1.0::DOUBLE AS v FROM events a JOIN events b ON b.event_id = a.event_id + 1")
@@ -350,10 +347,10 @@ def find_cells(spark, d):
 @query("SELECT round(sum(value), 2) AS add, round(sum(ln(value)), 6) AS logs, min(value) AS minimum, max(value) AS maximum, max(CAST(value > 490 AS INTEGER)) * 1.0::DOUBLE AS either, min(CAST(value > 0 AS INTEGER)) * 1.0::DOUBLE AS both, round(sum(value * (1 - 2 * (event_id % 2))), 4) AS subtract FROM events")
 def folds(spark, d):
     x = values(spark, d)
-    flags = lambda test: x.map(test)
-    made = [fold.fold_frame("add", x).select(F.round("v", 2).alias("add")), fold.fold_frame("add", x.map(num.ln)).select(F.round("v", 6).alias("logs")), fold.fold_frame("minimum", x).select(F.col("v").alias("minimum")), fold.fold_frame("maximum", x).select(F.col("v").alias("maximum")), fold.fold_frame("either", flags(lambda v: num.greater(v, 490.0))).select(F.col("v").alias("either")), fold.fold_frame("both", flags(lambda v: num.greater(v, 0.0))).select(F.col("v").alias("both")), fold.fold_frame("subtract", x).select(F.round("v", 4).alias("subtract"))]
-    row = [m.first()[0] for m in made]
-    return spark.createDataFrame([tuple(row)], ", ".join(f"{m.columns[0]} double" for m in made))
+    v = F.col("v")
+    # one pass: every fold aggregates its own column
+    made = {"add": ("add", v, 2), "logs": ("add", num.ln(v), 6), "minimum": ("minimum", v, None), "maximum": ("maximum", v, None), "either": ("either", num.greater(v, 490.0), None), "both": ("both", num.greater(v, 0.0), None), "subtract": ("subtract", v, 4)}
+    return fold.folds_frame({name: (how, of) for name, (how, of, _) in made.items()}, x).select(*((F.col(name) if digits is None else F.round(name, digits)).alias(name) for name, (_, _, digits) in made.items()))
 
 
 @query("SELECT round(exp(sum(ln(1 + value / 1e6) * (1 - 2 * (event_id % 2)))), 6) AS v FROM events")
@@ -645,6 +642,33 @@ def catch(spark, d):
     return combinators.catch(bad, lambda x: x)(values(spark, d)).df
 
 
+def _of_values(name: str, sql: str, f) -> None:
+    """A query of a function of Columns over the values of events."""
+    query(f"SELECT event_id AS i0, {sql} AS v FROM events")(_named(name, lambda spark, d: values(spark, d).map(f).df))
+
+
+def _named(name: str, f):
+    f.__name__ = name
+    return f
+
+
+_of_values("constant", "7.0::DOUBLE", lambda v: combinators.constant(F.lit(7.0))(v))
+_of_values("swap", "3 - value", lambda v: combinators.swap(num.subtract)(v, F.lit(3.0)))
+_of_values("swap_self", "value + value", lambda v: combinators.swap(num.add)(v))
+_of_values("atop", "-floor(value)", lambda v: combinators.atop(num.negate, num.floor)(v))
+_of_values("over", "floor(value) + 3", lambda v: combinators.over(num.add, num.floor)(v, F.lit(3.5)))
+_of_values("before", "-value * value", lambda v: combinators.before(num.negate, num.multiply)(v))
+_of_values("before_bound", "2 - value", lambda v: combinators.before(F.lit(2.0), num.subtract)(v))
+_of_values("after", "value - floor(value)", lambda v: combinators.after(num.subtract, num.floor)(v))
+_of_values("valences_one", "-value", lambda v: combinators.valences(num.negate, num.subtract)(v))
+_of_values("valences_two", "value - 5", lambda v: combinators.valences(num.negate, num.subtract)(v, F.lit(5.0)))
+
+
+@query("SELECT true AS took")
+def timed(spark, d):
+    return spark.createDataFrame([(combinators.timed(lambda x: x.map(num.negate))(values(spark, d)) > 0,)], "took boolean")
+
+
 @query("SELECT 1024 AS v")
 def while_(spark, d):
     return spark.createDataFrame([(combinators.while_(lambda n: n * 2, lambda n: n < 1000)(1),)], "v int")

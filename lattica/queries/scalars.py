@@ -184,28 +184,18 @@ def text_shift(spark, d):
     return table(spark, d, "events").select("event_id", lib.shift_chars(F.col("event_type"), 300).alias("t"))
 
 
-@query("SELECT doc_id, list_transform(string_split(left(text, 40), ''), lambda c: unicode(c)) AS codes FROM documents WHERE length(text) > 0")
+@query("SELECT doc_id, CAST(length(text) AS BIGINT) AS n, CASE WHEN text = '' THEN md5('') ELSE md5(array_to_string(list_transform(string_split(text, ''), lambda c: CAST(unicode(c) AS VARCHAR)), ' ')) END AS codes FROM documents")
 def text_code_points(spark, d):
-    return table(spark, d, "documents").where("length(text) > 0").select("doc_id", lib.code_points(F.substring("text", 1, 40)).alias("codes"))
+    """Of every whole text the number of its code points, and the digest of their list."""
+    made = table(spark, d, "documents").select("doc_id", lib.code_points(F.col("text")).alias("codes"))
+    return made.select("doc_id", F.when(F.col("codes").isNotNull(), F.size("codes")).cast("long").alias("n"), F.md5(F.array_join(F.transform("codes", lambda c: c.cast("string")), " ")).alias("codes"))
 
 
-@query("SELECT doc_id, left(text, 40) AS t, octet_length(encode(left(text, 40))) AS n FROM documents")
+@query("SELECT doc_id, md5(text) AS t, octet_length(encode(text)) AS n FROM documents")
 def utf8_round_trip(spark, d):
-    cut = table(spark, d, "documents").select("doc_id", lib.to_utf8(F.substring("text", 1, 40)).alias("b"))
-    return cut.select("doc_id", lib.from_utf8(F.col("b")).alias("t"), F.size("b").cast("long").alias("n"))
-
-
-@query()
-def text_code_points_all(spark, d):
-    """Whole texts, the empty ones too."""
-    return table(spark, d, "documents").select("doc_id", lib.code_points(F.col("text")).alias("codes"))
-
-
-@query("SELECT doc_id, text AS t, octet_length(encode(text)) AS n FROM documents")
-def utf8_round_trip_all(spark, d):
-    """Whole texts."""
-    whole = table(spark, d, "documents").select("doc_id", lib.to_utf8(F.col("text")).alias("b"))
-    return whole.select("doc_id", lib.from_utf8(F.col("b")).alias("t"), F.size("b").cast("long").alias("n"))
+    """Of every whole text the digest of what comes back from its bytes, and their number."""
+    made = table(spark, d, "documents").select("doc_id", lib.to_utf8(F.col("text")).alias("b"))
+    return made.select("doc_id", F.md5(lib.from_utf8(F.col("b"))).alias("t"), F.when(F.col("b").isNotNull(), F.size("b")).cast("long").alias("n"))
 
 
 @query("SELECT event_id, -value AS v FROM events")
@@ -223,9 +213,11 @@ def error_functions(spark, d):
     return values(spark, d, F.col("value") / 200).df.select("i0", lib.erf(F.col("v")).alias("erf"), lib.erfc(F.col("v")).alias("erfc"))
 
 
-@query()
+@query("SELECT count(DISTINCT text) AS texts, count(DISTINCT text) AS hashes FROM documents")
 def content_hash(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.xxhash64("text").alias("h"))
+    """Equal texts and no others have equal hashes."""
+    hashed = table(spark, d, "documents").select("text", F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("h"))
+    return hashed.agg(F.countDistinct("text").alias("texts"), F.countDistinct("h").alias("hashes"))
 
 
 def _map(spark, d) -> maps.HashMap:
