@@ -38,13 +38,15 @@ def words(text: str | None) -> list[str]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir where it is set, else one for this session."""
+    """The folder that driver and executors share: spark.checkpoint.dir where it is set, else one for this session, which only a local master may do."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or None
     if path is None:
         found = sc._jsc.sc().getCheckpointDir()
         if found.isDefined():
             return found.get()
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="lattica-")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
         sc.setCheckpointDir(path)
