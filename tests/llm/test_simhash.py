@@ -71,11 +71,12 @@ def test_spanning_is_exact(limit):
     assert slow_components(len(xs), found) == slow_components(len(xs), pairs)
 
 
-def test_links_and_components_against_brute_force(spark):
+@pytest.mark.parametrize("segments", [None, 5])
+def test_links_and_components_against_brute_force(spark, segments):
     rng = random.Random(5)
     xs = list({flips(rng, c, rng.randrange(7)) for c in [rng.getrandbits(64) for _ in range(20)] for _ in range(30)})
     df = spark.createDataFrame([(int(np.uint64(x).astype(np.int64)), k) for k, x in enumerate(xs)], "print long, node long")
-    found = {r.node: r.component for r in components(simhash.links(df)).collect()}
+    found = {r.node: r.component for r in components(simhash.links(df, segments)).collect()}
     want = slow_components(len(xs), [(a, b) for a, b in combinations(range(len(xs)), 2) if bin(xs[a] ^ xs[b]).count("1") <= 3])
     assert [found.get(k, k) for k in range(len(xs))] == want
 
