@@ -11,21 +11,17 @@ from pyspark.sql import functions as F
 from lattica.darray import DArray, want_rank
 from lattica.errors import DomainError, ShapeError
 from lattica.operators.search import key
-from lattica.plans.index import dense_index, running
+from lattica.plans.index import dense_index, nth, running
 
 HOW = {"add": "sum", "multiply": "product", "minimum": "min", "maximum": "max"}
 
 
 def scan(name: str, x: DArray, seed: float | None = None) -> DArray:
-    """Inclusive running fold along the leading axis, left to right. A list goes in blocks; columns of a matrix by a window each."""
+    """Inclusive running fold along the leading axis, left to right, in blocks of places; columns of a matrix side by side."""
     want_rank(x, 1, "a scan")
     if name not in HOW:
         raise DomainError(f"{name} has no distributed scan; use scan_cells or scan_groups")
-    if x.rank == 1:
-        df = running(x.df, "i0", "v", HOW[name])
-    else:
-        one = {"add": F.sum, "multiply": F.product, "minimum": F.min, "maximum": F.max}[name]
-        df = x.df.withColumn("v", one("v").over(Window.partitionBy(*x.axes[1:]).orderBy("i0").rowsBetween(Window.unboundedPreceding, 0)))
+    df = running(x.df, "i0", "v", HOW[name], keys=x.axes[1:])
     if seed is not None:
         v, s = F.col("v"), F.lit(float(seed))
         df = df.withColumn("v", {"add": v + s, "multiply": v * s, "minimum": F.least(v, s), "maximum": F.greatest(v, s)}[name])
@@ -84,9 +80,9 @@ def window_fold(name: str, x: DArray, length: int) -> DArray:
 
 
 def occurrence(x: DArray) -> DArray:
-    """How many earlier cells equal each one."""
-    k = key(F.col("v"), "x", F.col("i0"), x.kind == "n")
-    return DArray(x.df.withColumn("v", (F.row_number().over(Window.partitionBy(k).orderBy("i0")) - 1).cast("double")), x.shape)
+    """How many earlier cells equal each one. A value of many places is counted in blocks."""
+    keyed = x.df.select("i0", key(F.col("v"), "x", F.col("i0"), x.kind == "n").alias("k"))
+    return DArray(nth(keyed, ["k"], "i0", "n").select("i0", F.col("n").cast("double").alias("v")), x.shape)
 
 
 def _firsts(x: DArray) -> DataFrame:

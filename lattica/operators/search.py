@@ -5,12 +5,12 @@ from __future__ import annotations
 from functools import reduce
 from itertools import pairwise
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.darray import DArray
 from lattica.errors import DomainError, ShapeError
-from lattica.plans.index import dense_index, running
+from lattica.plans.index import dense_index, nth, running
 
 
 #: Edges of bins that an expression holds.
@@ -57,9 +57,8 @@ def index_of(w: DArray, x: DArray) -> DArray:
 def progressive_index_of(w: DArray, x: DArray) -> DArray:
     """Like index_of, but each cell of w is found once: the n-th equal cell of x meets the n-th of w."""
     _like(w, x)
-    nth = F.row_number().over(Window.partitionBy("k").orderBy("p"))
     known, asked = _sides(w, x)
-    left, right = asked.withColumn("n", nth), known.withColumn("n", nth).withColumnRenamed("p", "f")
+    left, right = nth(asked, ["k"], "p", "n"), nth(known, ["k"], "p", "n").withColumnRenamed("p", "f")
     found = left.join(right, ["k", "n"], "left")
     return DArray(found.select(F.col("p").alias("i0"), F.coalesce("f", F.lit(w.shape[0])).cast("double").alias("v")), (x.shape[0],))
 

@@ -45,18 +45,27 @@ def dense_index(df: DataFrame, order: list[str | Column], name: str) -> tuple[Da
 BLOCK = 1 << 16
 
 
-def running(df: DataFrame, place: str, value: str, how: str, block: int = BLOCK) -> DataFrame:
-    """df with `value` replaced by its running sum, product, min or max in the order of a dense place.
+def running(df: DataFrame, place: str, value: str, how: str, block: int = BLOCK, keys: list[str] | None = None) -> DataFrame:
+    """df with `value` replaced by its running sum, product, min or max in the order of a dense place, for each key.
 
-    Blocks of places run side by side; only block totals, one row a block, pass through one ordered window.
+    Blocks of places run side by side, also those of one key; only block totals, one row a key and block, pass through
+    one ordered window a key.
     """
+    keys = keys or []
     one = {"sum": F.sum, "product": F.product, "min": F.min, "max": F.max}[how]
-    within = Window.partitionBy("__run_block").orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy(*keys, "__run_block").orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
     cut = df.withColumn("__run_block", F.floor(F.col(place) / block))
     inner = cut.withColumn("__run_within", one(value).over(within))
-    earlier = Window.orderBy("__run_block").rowsBetween(Window.unboundedPreceding, -1)
-    totals = cut.groupBy("__run_block").agg(one(value).alias("__run_total")).withColumn("__run_total", one("__run_total").over(earlier))
-    both = inner.join(totals, "__run_block")
+    earlier = Window.partitionBy(*keys).orderBy("__run_block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = cut.groupBy(*keys, "__run_block").agg(one(value).alias("__run_total")).withColumn("__run_total", one("__run_total").over(earlier))
+    if keys:  # most keys lie in one block and have nothing to add
+        totals = totals.where(F.col("__run_total").isNotNull())
+    both = inner.join(totals, [*keys, "__run_block"], "left" if keys else "inner")
     w, t = F.col("__run_within"), F.col("__run_total")
     joined = {"sum": w + t, "product": w * t, "min": F.least(w, t), "max": F.greatest(w, t)}[how]
     return both.withColumn(value, F.when(t.isNull(), w).otherwise(joined)).drop("__run_block", "__run_within", "__run_total")
+
+
+def nth(df: DataFrame, keys: list[str], place: str, name: str) -> DataFrame:
+    """df with the number of earlier rows of equal keys: a key of many rows is counted in blocks."""
+    return running(df.withColumn(name, F.lit(1).cast("long")), place, name, "sum", keys=keys).withColumn(name, F.col(name) - 1)

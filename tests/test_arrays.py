@@ -174,3 +174,21 @@ def test_text_and_maps(spark, e):
     assert [(r.k, r.v) for r in m.df.orderBy("seq").collect()] == [("a", 1), ("b", 5), ("c", 6)]
     with pytest.raises(DomainError):
         maps.HashMap.of(rows.union(rows), "seq", "k", "v")
+
+
+def test_counts_in_blocks_of_one_key(spark):
+    from lattica.plans.index import nth, running
+
+    rng = np.random.default_rng(8)
+    rows = [(i, int(k), float(v)) for i, (k, v) in enumerate(zip(rng.choice(4, 500, p=[0.7, 0.1, 0.1, 0.1]), rng.integers(-9, 9, 500), strict=True))]
+    df = spark.createDataFrame(rows, "p long, k int, v double").repartition(5)
+    seen, total, count, want = {}, {}, {}, {}
+    for p, k, v in rows:
+        total[k] = total.get(k, 0) + v
+        want[p] = (total[k], seen.get(k, 0))
+        seen[k] = seen.get(k, 0) + 1
+    for r in running(df, "p", "v", "sum", block=7, keys=["k"]).collect():
+        count[r.p] = r.v
+    assert count == {p: a for p, (a, _) in want.items()}
+    assert {r.p: r.n for r in nth(df, ["k"], "p", "n").collect()} == {p: b for p, (_, b) in want.items()}
+    assert running(df.limit(0), "p", "v", "max", keys=["k"]).count() == 0
