@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -58,9 +59,12 @@ def running(df: DataFrame, place: str, value: str, how: str, block: int = BLOCK,
     inner = cut.withColumn("__run_within", one(value).over(within))
     earlier = Window.partitionBy(*keys).orderBy("__run_block").rowsBetween(Window.unboundedPreceding, -1)
     totals = cut.groupBy(*keys, "__run_block").agg(one(value).alias("__run_total")).withColumn("__run_total", one("__run_total").over(earlier))
-    if keys:  # most keys lie in one block and have nothing to add
-        totals = totals.where(F.col("__run_total").isNotNull())
-    both = inner.join(totals, [*keys, "__run_block"], "left" if keys else "inner")
+    if keys:  # most keys lie in one block and have nothing to add; nulls are a key as any other
+        totals = totals.where(F.col("__run_total").isNotNull()).select(*(F.col(k).alias(f"__key_{k}") for k in keys), F.col("__run_block").alias("__key_block"), "__run_total")
+        same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys), F.col("__run_block") == F.col("__key_block"))
+        both = inner.join(totals, same, "left").drop(*(c for c in totals.columns if c.startswith("__key_")))
+    else:
+        both = inner.join(totals, "__run_block")
     w, t = F.col("__run_within"), F.col("__run_total")
     joined = {"sum": w + t, "product": w * t, "min": F.least(w, t), "max": F.greatest(w, t)}[how]
     return both.withColumn(value, F.when(t.isNull(), w).otherwise(joined)).drop("__run_block", "__run_within", "__run_total")

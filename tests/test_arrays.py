@@ -180,7 +180,7 @@ def test_counts_in_blocks_of_one_key(spark):
     from lattica.plans.index import nth, running
 
     rng = np.random.default_rng(8)
-    rows = [(i, int(k), float(v)) for i, (k, v) in enumerate(zip(rng.choice(4, 500, p=[0.7, 0.1, 0.1, 0.1]), rng.integers(-9, 9, 500), strict=True))]
+    rows = [(i, int(k) or None, float(v)) for i, (k, v) in enumerate(zip(rng.choice(4, 500, p=[0.7, 0.1, 0.1, 0.1]), rng.integers(-9, 9, 500), strict=True))]
     df = spark.createDataFrame(rows, "p long, k int, v double").repartition(5)
     seen, total, count, want = {}, {}, {}, {}
     for p, k, v in rows:
