@@ -21,7 +21,7 @@ def scan(name: str, x: DArray, seed: float | None = None) -> DArray:
     want_rank(x, 1, "a scan")
     if name not in HOW:
         raise DomainError(f"{name} has no distributed scan; use scan_cells or scan_groups")
-    df = running(x.df, "i0", "v", HOW[name], keys=x.axes[1:])
+    df = running(x.df, "i0", "v", HOW[name], keys=x.axes[1:], n=x.shape[0])
     if seed is not None:
         v, s = F.col("v"), F.lit(float(seed))
         df = df.withColumn("v", {"add": v + s, "multiply": v * s, "minimum": F.least(v, s), "maximum": F.greatest(v, s)}[name])
@@ -82,7 +82,7 @@ def window_fold(name: str, x: DArray, length: int) -> DArray:
 def occurrence(x: DArray) -> DArray:
     """How many earlier cells equal each one. A value of many places is counted in blocks."""
     keyed = x.df.select("i0", key(F.col("v"), "x", F.col("i0"), x.kind == "n").alias("k"))
-    return DArray(nth(keyed, ["k"], "i0", "n").select("i0", F.col("n").cast("double").alias("v")), x.shape)
+    return DArray(nth(keyed, ["k"], "i0", "n", x.shape[0]).select("i0", F.col("n").cast("double").alias("v")), x.shape)
 
 
 def _firsts(x: DArray) -> DataFrame:

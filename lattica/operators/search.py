@@ -58,7 +58,7 @@ def progressive_index_of(w: DArray, x: DArray) -> DArray:
     """Like index_of, but each cell of w is found once: the n-th equal cell of x meets the n-th of w."""
     _like(w, x)
     known, asked = _sides(w, x)
-    left, right = nth(asked, ["k"], "p", "n"), nth(known, ["k"], "p", "n").withColumnRenamed("p", "f")
+    left, right = nth(asked, ["k"], "p", "n", x.shape[0]), nth(known, ["k"], "p", "n", w.shape[0]).withColumnRenamed("p", "f")
     found = left.join(right, ["k", "n"], "left")
     return DArray(found.select(F.col("p").alias("i0"), F.coalesce("f", F.lit(w.shape[0])).cast("double").alias("v")), (x.shape[0],))
 

@@ -44,17 +44,21 @@ def dense_index(df: DataFrame, order: list[str | Column], name: str) -> tuple[Da
 
 #: Elements of a block; a block is the unit of the first pass of a running total.
 BLOCK = 1 << 16
+KEYED_BLOCK = 1 << 20
 
 
-def running(df: DataFrame, place: str, value: str, how: str, block: int = BLOCK, keys: list[str] | None = None) -> DataFrame:
+def running(df: DataFrame, place: str, value: str, how: str, block: int | None = None, keys: list[str] | None = None, n: int | None = None) -> DataFrame:
     """df with `value` replaced by its running sum, product, min or max in the order of a dense place, for each key.
 
     Blocks of places run side by side, also those of one key; only block totals, one row a key and block, pass through
-    one ordered window a key.
+    one ordered window a key. Where the n places are known to be one block, no totals are needed.
     """
     keys = keys or []
+    block = block or (KEYED_BLOCK if keys else BLOCK)
     one = {"sum": F.sum, "product": F.product, "min": F.min, "max": F.max}[how]
     within = Window.partitionBy(*keys, "__run_block").orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
+    if keys and n is not None and n <= block:
+        return df.withColumn(value, one(value).over(Window.partitionBy(*keys).orderBy(place).rowsBetween(Window.unboundedPreceding, 0)))
     cut = df.withColumn("__run_block", F.floor(F.col(place) / block))
     inner = cut.withColumn("__run_within", one(value).over(within))
     earlier = Window.partitionBy(*keys).orderBy("__run_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -70,6 +74,6 @@ def running(df: DataFrame, place: str, value: str, how: str, block: int = BLOCK,
     return both.withColumn(value, F.when(t.isNull(), w).otherwise(joined)).drop("__run_block", "__run_within", "__run_total")
 
 
-def nth(df: DataFrame, keys: list[str], place: str, name: str) -> DataFrame:
+def nth(df: DataFrame, keys: list[str], place: str, name: str, n: int | None = None) -> DataFrame:
     """df with the number of earlier rows of equal keys: a key of many rows is counted in blocks."""
-    return running(df.withColumn(name, F.lit(1).cast("long")), place, name, "sum", keys=keys).withColumn(name, F.col(name) - 1)
+    return running(df.withColumn(name, F.lit(1).cast("long")), place, name, "sum", keys=keys, n=n).withColumn(name, F.col(name) - 1)

@@ -191,4 +191,5 @@ def test_counts_in_blocks_of_one_key(spark):
         count[r.p] = r.v
     assert count == {p: a for p, (a, _) in want.items()}
     assert {r.p: r.n for r in nth(df, ["k"], "p", "n").collect()} == {p: b for p, (_, b) in want.items()}
+    assert {r.p: r.n for r in nth(df, ["k"], "p", "n", 500).collect()} == {p: b for p, (_, b) in want.items()}
     assert running(df.limit(0), "p", "v", "max", keys=["k"]).count() == 0
