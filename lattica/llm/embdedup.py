@@ -7,9 +7,13 @@ leading dimensions plus the product of the suffix norms bounds every cosine; pai
 stop there, the rest gather further dimensions against tighter suffix bounds, and what is left is decided by the
 cosine of the original vectors in double precision.
 
-Equal vectors are one row with a count before any tile is made, so copies cost nothing; a tile pair returns counts
-and edges that span what it linked, never its pairs, so sets of near copies stay linear. What the driver holds is the
-moment matrix, a bounded sample for the tree, and one box a tile.
+Neighbouring tiles form blocks. A task compares the tiles of two blocks, so a tile travels once for each block whose
+box is near and not once for each tile, in the width that its components came in. Which blocks are near is found where
+the tile lies.
+
+Equal vectors are one row with a count before any tile is made, so copies cost nothing; two blocks return counts and
+edges that span what they linked, never its pairs, so sets of near copies stay linear. What the driver holds is the
+moment matrix, a bounded sample for the tree, and one box a tile (some 100 bytes for at least 1,024 vectors).
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing, and so
 do vectors without vec_id; vectors of different lengths don't link; rows that share a vec_id count one by one; an
@@ -19,12 +23,14 @@ empty table gives an empty result; other columns aren't read.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lattica.llm.common import stored
 from lattica.llm.components import components
@@ -33,6 +39,7 @@ THRESHOLD = 0.9
 LEAD, STEP, BOX = 16, 16, 6
 MARGIN = 1e-4  # over the rounding of bounds in single precision
 BLOCK, LARGEST_TILE, TREE_SAMPLE = 2048, 16384, 20_000
+BLOCK_BYTES, TASK_BYTES = 1 << 26, 1 << 27
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -105,9 +112,9 @@ def spanning(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Tile:
     """Rows of one tile, in the principal axes and as they came."""
 
-    def __init__(self, ids: bytes, counts: bytes, data: bytes, axes: np.ndarray) -> None:
+    def __init__(self, ids: bytes, counts: bytes, data: bytes, axes: np.ndarray, width: type = np.float64) -> None:
         self.ids, self.counts = np.frombuffer(ids, dtype=np.int64), np.frombuffer(counts, dtype=np.int64)
-        self.raw = np.frombuffer(data, dtype=np.float64).reshape(len(self.ids), -1)
+        self.raw = np.frombuffer(data, dtype=width).reshape(len(self.ids), -1).astype(np.float64)
         self.unit = unit(self.raw)
         self.turned = self.unit @ axes
         size = self.turned.shape[1]
@@ -142,13 +149,20 @@ def compare(a: Tile, b: Tile, same: bool, threshold: float) -> tuple[np.ndarray,
     return np.concatenate([p for p, _ in found]), np.concatenate([q for _, q in found])
 
 
+def _near_boxes(low: np.ndarray, high: np.ndarray, lows: np.ndarray, highs: np.ndarray, threshold: float) -> np.ndarray:
+    """Places of the boxes that hold points near enough to one box: unit vectors at that cosine lie sqrt(2 - 2 cos) apart."""
+    gap = np.maximum(0, np.maximum(lows - high, low - highs))
+    return np.flatnonzero((gap**2).sum(axis=1) <= 2 - 2 * threshold + 1e-6)
+
+
 def _pairs_of_boxes(low: np.ndarray, high: np.ndarray, threshold: float) -> list[tuple[int, int]]:
-    """Pairs i <= j of boxes that hold points near enough: unit vectors at that cosine lie sqrt(2 - 2 cos) apart."""
-    near, out = 2 - 2 * threshold + 1e-6, []
-    for i in range(len(low)):
-        gap = np.maximum(0, np.maximum(low[i:] - high[i], low[i] - high[i:]))
-        out += [(i, i + int(k)) for k in np.flatnonzero((gap**2).sum(axis=1) <= near)]
-    return out
+    """Pairs i <= j of near boxes."""
+    return [(i, i + int(k)) for i in range(len(low)) for k in _near_boxes(low[i], high[i], low[i:], high[i:], threshold)]
+
+
+def _tiles_a_block(tiles: int, tile_bytes: int, cores: int) -> int:
+    """Tiles in a block: as many as memory allows, but not so many that there are under some four pairs of blocks a core."""
+    return max(1, min(BLOCK_BYTES // tile_bytes, tiles // (math.isqrt(8 * cores) + 1)))
 
 
 def links(vectors: DataFrame, size: int, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -159,6 +173,7 @@ def links(vectors: DataFrame, size: int, threshold: float = THRESHOLD) -> tuple[
     rows = min(LARGEST_TILE, max(1024, total // 12))
     depth = max(0, int(np.ceil(np.log2(max(1, total / rows)))))
     box = min(BOX, size)
+    width = np.float32 if isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType) else np.float64
     sample = vectors.select("embedding").sample(min(1.0, TREE_SAMPLE / max(1, total)), seed=3).toArrow()["embedding"].combine_chunks()
     points = unit(_matrix(sample, size)) @ axes[:, :box] if len(sample) else np.zeros((0, box))
     splits = _tree(points, depth)
@@ -180,34 +195,59 @@ def links(vectors: DataFrame, size: int, threshold: float = THRESHOLD) -> tuple[
         x = _matrix(group["embedding"].combine_chunks(), size)
         p = unit(x) @ axes[:, :box]
         one = lambda v: pa.array([np.ascontiguousarray(v).tobytes()], type=pa.binary())
-        return pa.table({"leaf": group["leaf"].slice(0, 1), "share": group["share"].slice(0, 1), "ids": one(group["rep"].to_numpy()), "counts": one(group["n"].to_numpy()), "data": one(x), "low": one(p.min(axis=0)), "high": one(p.max(axis=0))})
+        return pa.table({"leaf": group["leaf"].slice(0, 1), "share": group["share"].slice(0, 1), "ids": one(group["rep"].to_numpy()), "counts": one(group["n"].to_numpy()), "data": one(x.astype(width)), "low": one(p.min(axis=0)), "high": one(p.max(axis=0))})
 
     tiles = stored(flat.mapInArrow(functools.partial(place, many=many), schema).groupBy("leaf", "share").applyInArrow(pack, "leaf long, share long, ids binary, counts binary, data binary, low binary, high binary"))
-    boxes = sorted(((r["leaf"], r["share"]), np.frombuffer(r["low"]), np.frombuffer(r["high"])) for r in tiles.select("leaf", "share", "low", "high").collect()) if total else []
-    names = [b[0] for b in boxes]
-    near = _pairs_of_boxes(np.array([b[1] for b in boxes]).reshape(-1, box), np.array([b[2] for b in boxes]).reshape(-1, box), threshold)
-    pairs = spark.createDataFrame([(k, *names[i], *names[j]) for k, (i, j) in enumerate(near)], "k long, la long, sa long, lb long, sb long")
-    left = tiles.select(F.col("leaf").alias("la"), F.col("share").alias("sa"), *(F.col(c).alias(f"{c}_a") for c in ("ids", "counts", "data")))
-    right = tiles.select(F.col("leaf").alias("lb"), F.col("share").alias("sb"), *(F.col(c).alias(f"{c}_b") for c in ("ids", "counts", "data")))
-    tasks = max(1, min(len(near), 4 * spark.sparkContext.defaultParallelism))
-    work = pairs.join(left, ["la", "sa"]).join(right, ["lb", "sb"]).select("k", F.expr("la = lb and sa = sb").alias("same"), "ids_a", "counts_a", "data_a", "ids_b", "counts_b", "data_b").repartition(tasks)
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    boxes = sorted(((r["leaf"], r["share"]), np.frombuffer(r["low"]), np.frombuffer(r["high"])) for r in tiles.select("leaf", "share", "low", "high").collect())
+    low, high = (np.array([b[k] for b in boxes]).reshape(-1, box) for k in (1, 2))
+    tile_bytes, cores = rows * size * np.dtype(width).itemsize, spark.sparkContext.defaultParallelism
+    per = _tiles_a_block(len(boxes), tile_bytes, cores)
+    starts = np.arange(0, len(boxes), per)
+    blocks = np.minimum.reduceat(low, starts, axis=0), np.maximum.reduceat(high, starts, axis=0)
+    # a box a tile
+    shared = spark.sparkContext.broadcast(({b[0]: k for k, b in enumerate(boxes)}, low, high, *blocks))
+
+    def send(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The pairs of blocks that each tile is part of."""
+        names, low, high, lows, highs = shared.value
         for part in parts:
-            for r in part.to_pylist():
-                a = Tile(r["ids_a"], r["counts_a"], r["data_a"], axes)
-                b = a if r["same"] else Tile(r["ids_b"], r["counts_b"], r["data_b"], axes)
-                i, j = compare(a, b, r["same"], threshold)
-                if not len(i):
-                    continue
-                u, v = spanning(a.ids[i], b.ids[j])
-                rep, at = np.unique(np.r_[a.ids[i], b.ids[j]], return_inverse=True)
-                linked = np.bincount(at, weights=np.r_[b.counts[j], a.counts[i]]).astype(np.int64)
-                none = pa.nulls(len(rep), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(rep), none, pa.array(linked)], names=["u", "v", "linked"])
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.nulls(len(u), pa.int64())], names=["u", "v", "linked"])
-
-    found = stored(work.mapInArrow(run, "u long, v long, linked long"))
+            at = [names[k] for k in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
+            near = [_near_boxes(low[k], high[k], lows, highs, threshold).tolist() for k in at]
+            cells = [[{"a": min(k // per, q), "b": max(k // per, q)} for q in found] for k, found in zip(at, near, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(cells, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), *part.columns[2:5]], names=["at", "cells", "ids", "counts", "data"])
+
+    sent = tiles.select("leaf", "share", "ids", "counts", "data").mapInArrow(send, "at long, cells array<struct<a: long, b: long>>, ids binary, counts binary, data binary")
+    cells = len(starts) * (len(starts) + 1) // 2
+    tasks = max(min(4 * cells, 16 * cores), -(-len(boxes) * len(starts) * tile_bytes // TASK_BYTES))
+    work = sent.select(F.explode("cells").alias("cell"), "at", "ids", "counts", "data").select("cell.a", "cell.b", "at", "ids", "counts", "data").repartition(tasks, "a", "b")
+
+    def run(key: tuple[pa.Scalar, pa.Scalar], group: pa.Table) -> pa.Table:
+        """Compares the tiles of block a with those of block b."""
+        _, low, high, _, _ = shared.value
+        places = {int(at): k for k, at in enumerate(group["at"].to_pylist())}
+        left, right = (sorted(at for at in places if at // per == k.as_py()) for k in key)
+
+        def tile(at: int) -> Tile:
+            return Tile(*(group[c][places[at]].as_py() for c in ("ids", "counts", "data")), axes, width)
+
+        seen: list[tuple[np.ndarray, np.ndarray]] = []
+        edges: list[tuple[np.ndarray, np.ndarray]] = []
+        for x in left:
+            later = [y for y in right if y >= x]
+            a = tile(x) if later else None
+            for y in (later[k] for k in _near_boxes(low[x], high[x], low[later], high[later], threshold)):
+                b = a if x == y else tile(y)
+                i, j = compare(a, b, x == y, threshold)
+                if len(i):
+                    edges.append(spanning(a.ids[i], b.ids[j]))
+                    rep, at = np.unique(np.r_[a.ids[i], b.ids[j]], return_inverse=True)
+                    seen.append((rep, np.bincount(at, weights=np.r_[b.counts[j], a.counts[i]]).astype(np.int64)))
+        none = np.zeros(0, dtype=np.int64)
+        u, v = spanning(*(np.concatenate([none, *(e[k] for e in edges)]) for k in (0, 1))) if edges else (none, none)
+        rep, linked = (np.concatenate([none, *(r[k] for r in seen)]) for k in (0, 1))
+        return pa.table({"u": np.r_[u, rep], "v": pa.array([*v.tolist(), *[None] * len(rep)], pa.int64()), "linked": pa.array([*[None] * len(u), *linked.tolist()], pa.int64())})
+
+    found = stored(work.groupBy("a", "b").applyInArrow(run, "u long, v long, linked long"))
     return found.where("linked is not null").groupBy(F.col("u").alias("rep")).agg(F.sum("linked").alias("linked")), found.where("v is not null").select("u", "v")
 
 

@@ -35,9 +35,11 @@ def test_edges(spark):
     assert embdedup.near_duplicates(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("block,largest", [(2048, 16384), (64, 128)])
-def test_clusters(spark, monkeypatch, block, largest):
+@pytest.mark.parametrize("block,largest,tiles", [(2048, 16384, 1), (64, 32, 1), (64, 32, 3)])
+def test_clusters(spark, monkeypatch, block, largest, tiles):
     monkeypatch.setattr(embdedup, "BLOCK", block)
+    monkeypatch.setattr(embdedup, "LARGEST_TILE", largest)
+    monkeypatch.setattr(embdedup, "_tiles_a_block", lambda *_: tiles)
     rng = np.random.default_rng(2)
     base = rng.normal(size=(40, 24))
     x = base[rng.integers(0, 40, 500)] + rng.normal(size=(500, 24)) * rng.choice([0.05, 0.3, 0.5], size=(500, 1))
@@ -61,6 +63,14 @@ def test_tree_and_boxes():
                 assert tuple(sorted((int(leaf[a]), int(leaf[b])))) in near
 
 
+def test_blocks_stay_within_memory_and_leave_work_for_every_core():
+    for tiles in (1, 16, 1000, 100_000):
+        for size in (1 << 10, 1 << 22, 1 << 30):
+            for cores in (1, 6, 8000):
+                per = embdedup._tiles_a_block(tiles, size, cores)
+                assert per == 1 or (per * size <= embdedup.BLOCK_BYTES and (tiles / per) ** 2 / 2 >= 4 * cores)
+
+
 def test_spanning_connects_the_same():
     rng = np.random.default_rng(4)
     u, v = rng.integers(0, 200, 150), rng.integers(0, 200, 150)
