@@ -1,12 +1,15 @@
 """Chats in reply order, without quotes.
 
-A line is quoted at the level of its leading `>` signs. Quoted lines are normalised (white space, case) and hashed;
-the hash finds, within the conversation, the first message that says the line itself. A message replies to the source
-of its shallowest quotes: the one that most of those lines come from, the latest of equals. Quotes go from the text;
-messages are put in threads, each under its first message, ordered by turn.
-
-Only DataFrame functions are used. A line that many messages say is one row (the first) before it is joined, and one
-that many quote is joined to that row, so nothing grows with the square of a group. Roots are found by doubling reply
+A line is quoted at the level of its leading `>` signs. A passage is a run of lines of one level in a message, without
+the lines that are empty; it is normalised (white space, case) and hashed. A passage quoted at one level is found,
+within the conversation, by its hash in the first message that has it at the level below: what is quoted once was said,
+what is quoted twice was quoted once. Lines of a passage that no earlier message has whole are looked up one by one in
+the first messages that say them. A message replies to the source of its shallowest quotes: the one that most of those
+lines come from, the latest of equals. Quotes go from the text; messages are put in threads, each under its first
+message, ordered by turn.
+
+Only DataFrame functions are used. What many messages say is one row (the first) before it is joined, and what many
+quote is joined to that row, so nothing grows with the square of a group. Roots are found by doubling reply
 links. Positions come from one sort by range and two prefix sums, so a conversation of any size is spread over tasks.
 
 Defined cases: null and empty texts stay as they are, without quotes; a message that quotes only itself, or what
@@ -30,31 +33,41 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _key(line: Column) -> Column:
-    """Hash of a line without its quote signs, white space and case apart; null if nothing is left."""
-    plain = F.trim(F.lower(F.regexp_replace(F.regexp_replace(line, QUOTED, ""), _SPACE, " ")))
-    return F.when(plain != "", F.md5(plain))
+def _level(line: Column) -> Column:
+    return F.length(F.regexp_replace(F.regexp_extract(line, QUOTED, 0), "[^>]", ""))
+
+
+def _plain(line: Column) -> Column:
+    """A line without its quote signs, white space and case apart."""
+    return F.trim(F.lower(F.regexp_replace(F.regexp_replace(line, QUOTED, ""), _SPACE, " ")))
+
+
+def passages(messages: DataFrame) -> DataFrame:
+    """(conv_id, turn, text) -> (conv_id, turn, level, passage, lines): every passage with its hash and those of its lines."""
+    read = messages.select("conv_id", "turn", F.transform(_lines(F.col("text")), lambda x: F.struct(_level(x).alias("level"), _plain(x).alias("plain"))).alias("ls"))
+    n = F.size("ls")
+    new = lambda k: (k == 0) | (F.get("ls", k)["level"] != F.get("ls", k - 1)["level"])
+    cut = read.withColumn("starts", F.filter(F.sequence(F.lit(0), n - 1), new))
+    words = lambda s, j: F.filter(F.transform(F.slice("ls", s + 1, F.coalesce(F.get("starts", j + 1), n) - s), lambda x: x["plain"]), lambda x: x != "")
+    runs = cut.select("conv_id", "turn", F.explode(F.transform("starts", lambda s, j: F.struct(F.get("ls", s)["level"].alias("level"), words(s, j).alias("lines")))).alias("run"))
+    kept = runs.select("conv_id", "turn", "run.level", "run.lines").where(F.size("lines") > 0)
+    return kept.select("conv_id", "turn", "level", F.md5(F.array_join("lines", "\n")).alias("passage"), F.transform("lines", F.md5).alias("lines"))
 
 
 def reply_links(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, text) -> (conv_id, turn, reply_to): what each message with quotes replies to."""
     known = messages.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
     quoting = known.where(F.col("text").rlike("(?m)" + QUOTED))
-    quotes = (
-        quoting.select("conv_id", "turn", F.explode(F.filter(_lines(F.col("text")), lambda x: x.rlike(QUOTED))).alias("line"))
-        .select("conv_id", "turn", F.length(F.regexp_replace(F.regexp_extract("line", QUOTED, 0), "[^>]", "")).alias("level"), _key(F.col("line")).alias("key"))
-        .where("key is not null")
-    )
-    said = (
-        known.join(quoting.select("conv_id").distinct(), "conv_id", "left_semi")
-        .select("conv_id", "turn", F.explode(F.filter(_lines(F.col("text")), lambda x: ~x.rlike(QUOTED))).alias("line"))
-        .select("conv_id", "turn", _key(F.col("line")).alias("key"))
-        .where("key is not null")
-        .groupBy("conv_id", "key")
-        .agg(F.min("turn").alias("source"))
-    )
-    found = quotes.join(said, ["conv_id", "key"]).where("source < turn").groupBy("conv_id", "turn", "level", "source").agg(F.count("*").alias("n"))
-    return found.groupBy("conv_id", "turn").agg(F.max(F.struct((-F.col("level")).alias("near"), "n", "source")).getField("source").alias("reply_to"))
+    quotes = passages(quoting).where("level > 0")
+    there = passages(known.join(quoting.select("conv_id").distinct(), "conv_id", "left_semi"))
+    whole = there.groupBy("conv_id", (F.col("level") + 1).alias("level"), "passage").agg(F.min("turn").alias("source"))
+    said = there.where("level = 0").select("conv_id", "turn", F.explode("lines").alias("line")).groupBy("conv_id", "line").agg(F.min("turn").alias("source"))
+    traced = quotes.join(whole, ["conv_id", "level", "passage"], "left").withColumn("source", F.when(F.col("source") < F.col("turn"), F.col("source")))
+    of_passages = traced.where("source is not null").select("conv_id", "turn", "level", "source", F.size("lines").alias("n"))
+    loose = traced.where("source is null").select("conv_id", "turn", "level", F.explode("lines").alias("line"))
+    of_lines = loose.join(said, ["conv_id", "line"]).where("source < turn").select("conv_id", "turn", "level", "source", F.lit(1).alias("n"))
+    votes = of_passages.union(of_lines).groupBy("conv_id", "turn", "level", "source").agg(F.sum("n").alias("n"))
+    return votes.groupBy("conv_id", "turn").agg(F.max(F.struct((-F.col("level")).alias("near"), "n", "source")).getField("source").alias("reply_to"))
 
 
 def roots(links: DataFrame, max_rounds: int = 64) -> DataFrame:

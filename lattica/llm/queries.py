@@ -141,16 +141,30 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL["op10_chat_formatting"] = r"""
 WITH RECURSIVE m AS (
-  SELECT conv_id, turn, role, text, string_split(text, chr(10)) AS ls FROM conversations
+  SELECT row_number() OVER () AS r, conv_id, turn, role, text, string_split(text, chr(10)) AS ls FROM conversations
 ), l AS (
-  SELECT conv_id, turn, unnest(ls) AS line FROM m WHERE conv_id IS NOT NULL AND turn IS NOT NULL
+  SELECT r, conv_id, turn, unnest(ls) AS line, generate_subscripts(ls, 1) AS k FROM m WHERE conv_id IS NOT NULL AND turn IS NOT NULL
 ), k AS (
-  SELECT conv_id, turn, length(regexp_replace(regexp_extract(line, '^(?:[ \t]*>)+'), '[^>]', '', 'g')) AS level,
+  SELECT r, conv_id, turn, k, length(regexp_replace(regexp_extract(line, '^(?:[ \t]*>)+'), '[^>]', '', 'g')) AS level,
          trim(lower(regexp_replace(regexp_replace(line, '^(?:[ \t]*>)+', ''), '[ \t\x0B\f\r]+', ' ', 'g'))) AS plain FROM l
+), c AS (
+  SELECT *, level IS DISTINCT FROM lag(level) OVER (PARTITION BY r ORDER BY k) AS new FROM k
+), b AS (
+  SELECT *, count(*) FILTER (new) OVER (PARTITION BY r ORDER BY k) AS run FROM c
+), p AS (
+  SELECT r, conv_id, turn, run, level, string_agg(plain, chr(10) ORDER BY k) AS passage, count(*) AS n FROM b WHERE plain <> '' GROUP BY r, conv_id, turn, run, level
+), whole AS (
+  SELECT conv_id, level + 1 AS level, passage, min(turn) AS source FROM p GROUP BY ALL
 ), said AS (
-  SELECT conv_id, plain, min(turn) AS source FROM k WHERE level = 0 AND plain <> '' GROUP BY conv_id, plain
+  SELECT conv_id, plain, min(turn) AS source FROM b WHERE level = 0 AND plain <> '' GROUP BY conv_id, plain
+), t AS (
+  SELECT p.*, w.source FROM p LEFT JOIN whole w ON w.conv_id = p.conv_id AND w.level = p.level AND w.passage = p.passage AND w.source < p.turn WHERE p.level > 0
 ), f AS (
-  SELECT k.conv_id, k.turn, level, source, count(*) AS n FROM k JOIN said USING (conv_id, plain) WHERE level > 0 AND source < k.turn GROUP BY ALL
+  SELECT conv_id, turn, level, source, sum(n) AS n FROM (
+    SELECT conv_id, turn, level, source, n FROM t WHERE source IS NOT NULL
+    UNION ALL
+    SELECT b.conv_id, b.turn, b.level, s.source, 1 FROM t JOIN b ON b.r = t.r AND b.run = t.run JOIN said s ON s.conv_id = b.conv_id AND s.plain = b.plain WHERE t.source IS NULL AND b.plain <> '' AND s.source < b.turn
+  ) GROUP BY ALL
 ), links AS (
   SELECT conv_id, turn, source AS reply_to FROM f QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, n DESC, source DESC) = 1
 ), up(conv_id, turn, thread) AS (

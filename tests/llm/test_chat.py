@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -8,14 +9,24 @@ def brute(rows):
     """(conv, turn, role, text) -> {(conv, turn): (text, n_quoted, reply_to, thread)} and the order of each conversation."""
     level = lambda x: re.match(r"(?:[ \t]*>)*", x)[0].count(">")
     plain = lambda x: re.sub(r"[ \t\x0b\f\r]+", " ", x[re.match(r"(?:[ \t]*>)*", x).end() :]).lower().strip(" ")
+
+    def runs(text):
+        """(level, lines) of each passage."""
+        found = [(k, [plain(x) for x in g if plain(x)]) for k, g in itertools.groupby(text.split("\n") if text is not None else [], key=level)]
+        return [x for x in found if x[1]]
+
     out = {}
     for c, t, _, text in rows:
         votes = {}
-        for x in (text or "").split("\n"):
-            if level(x) and plain(x):
-                sources = [u for d, u, _, other in rows if d == c and other is not None for y in other.split("\n") if not level(y) and plain(y) == plain(x)]
+        for k, lines in runs(text):
+            whole = [u for d, u, _, other in rows if d == c and k and (k - 1, lines) in runs(other)]
+            if whole and min(whole) < t:
+                votes[k, min(whole)] = votes.get((k, min(whole)), 0) + len(lines)
+                continue
+            for x in lines if k else []:
+                sources = [u for d, u, _, other in rows if d == c and any(not j and x in said for j, said in runs(other))]
                 if sources and min(sources) < t:
-                    votes[level(x), min(sources)] = votes.get((level(x), min(sources)), 0) + 1
+                    votes[k, min(sources)] = votes.get((k, min(sources)), 0) + 1
         near = min((k for k, _ in votes), default=None)
         to = max(((n, s) for (k, s), n in votes.items() if k == near), default=(0, None))[1]
         ls = None if text is None else text.split("\n")
@@ -61,6 +72,18 @@ def test_long_chain_and_edges(spark):
     assert sorted(str(r.position) for r in found) == ["0", "1", "2", "None"]
 
 
+def test_passages_go_before_lines_and_nested_levels_link(spark):
+    rows = [
+        (1, 0, "u", "yes"), (1, 1, "u", "one\ntwo"), (1, 2, "u", "two\n\nthree"),
+        (1, 3, "u", "> two\n>\n>   THREE\nI agree"),  # whole in 2, though 1 said "two" before
+        (1, 4, "u", ">> two\n>> three\nonly nested"),  # quoted once by 3
+        (1, 5, "u", "> one\n> two\n> edited\n\n> yes\nno"),  # two lines of 1 against a whole passage of 0
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    check(df, rows)
+    assert {r.turn: r.reply_to for r in chat.conversations(df).collect()} == {0: None, 1: None, 2: None, 3: 2, 4: 3, 5: 1}
+
+
 def test_plan_is_native(spark):
     df = spark.createDataFrame([(1, 0, "u", "a"), (1, 1, "u", "> a\nb")], "conv_id long, turn long, role string, text string")
     plan = chat.conversations(df)._jdf.queryExecution().toString()
