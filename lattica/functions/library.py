@@ -180,6 +180,16 @@ def format_number(x: Column) -> Column:
     return run(num(x))
 
 
+def format_list(x: Column) -> Column:
+    """An array of numbers as text: its formatted elements between angle brackets."""
+
+    @F.pandas_udf(T.StringType())
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: None if v is None else f"⟨ {' '.join(map(number_text, np.asarray(v, dtype=np.float64).tolist()))} ⟩" if len(v) else "⟨⟩")
+
+    return run(x.cast("array<double>"))
+
+
 def number_text(v: float) -> str:
     if math.isnan(v):
         return "NaN"

@@ -25,6 +25,21 @@ def constant(value: Any) -> Fn:
     return lambda *_: value
 
 
+def left(w: Any, x: Any = None) -> Any:
+    """The left argument, or the only one."""
+    return w
+
+
+def right(w: Any, x: Any = None) -> Any:
+    """The right argument, or the only one."""
+    return w if x is None else x
+
+
+def fill_by(f: Fn, g: Fn) -> Fn:
+    """f; what g would make the fill of its result isn't asked for, as fills follow the kind of a result."""
+    return f
+
+
 def swap(f: Fn) -> Fn:
     """f with its arguments exchanged; of one argument, f of it twice."""
     return lambda a, b=None: f(a, a) if b is None else f(b, a)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,6 +83,22 @@ def fold_cells(step: object, cells: Column, start: Column | None = None) -> Colu
     return F.aggregate(F.slice(back, 2, F.greatest(F.size(back) - 1, F.lit(0))), F.element_at(back, 1), lambda acc, v: step(v, acc))
 
 
+def fold_associative(step: Callable[[Column, Column], Column], x: DArray, block: int = 4096) -> DataFrame:
+    """The fold of a list of any length by a user's associative function of two Columns, as a DataFrame with one row.
+
+    Places form blocks, each folded in its row by one task; block results are a shorter list, folded the same way. The
+    order of the elements is kept, so the function need not commute. An empty list has no result: v is null.
+    """
+    df, n = x.df.select("i0", "v"), x.size
+    while True:
+        cells = F.transform(F.array_sort(F.collect_list(F.struct("i0", "v"))), lambda s: s["v"])
+        df = df.groupBy(F.floor(F.col("i0") / block).alias("i0")).agg(cells.alias("cells"))
+        df = df.select("i0", F.aggregate(F.slice("cells", 2, F.size("cells")), F.element_at("cells", 1), step).alias("v"))
+        n = -(-n // block)
+        if n <= 1:
+            return df.agg(F.max("v").alias("v"))
+
+
 def count_distinct(x: DArray) -> int:
     return x.df.select("v").distinct().count()
 

@@ -64,6 +64,34 @@ def top(x: DArray, k: int, down: bool = True) -> DArray:
     return DArray(made.select(F.col("__p").alias("i0"), "v"), (n,), x.kind, x.fill)
 
 
+def atom(v: Column, char: Column | bool = False) -> Column:
+    """An element of a mixed array: numbers stand before characters, which are given by their code points."""
+    return F.struct((F.lit(char) if isinstance(char, bool) else char).cast("int").alias("kind"), v.cast("double").alias("v"))
+
+
+def _nested(df: DataFrame, down: bool) -> tuple[DataFrame, int]:
+    shape = [F.size("shape"), F.col("shape")] if "shape" in df.columns else []
+    keys = [F.col("cell"), *shape]
+    return dense_index(df, [*((k.desc() if down else k.asc()) for k in keys), F.col("i0").asc()], "__p")
+
+
+def grade_nested(df: DataFrame, down: bool = False) -> DArray:
+    """The places of nested arrays in sorted order.
+
+    df: (i0, cell) and, where they aren't all lists, shape. A cell is the array's elements in row-major order: numbers,
+    atoms of mixed arrays, or arrays of these. Arrays are compared element by element; where one ends first it is the
+    smaller; equal elements leave it to the rank, then to the shape.
+    """
+    made, n = _nested(df, down)
+    return DArray(made.select(F.col("__p").alias("i0"), F.col("i0").cast("double").alias("v")), (n,))
+
+
+def sort_nested(df: DataFrame, down: bool = False) -> DataFrame:
+    """Nested arrays in order, as in grade_nested: (i0, cell) and shape where it was given."""
+    made, _ = _nested(df, down)
+    return made.select(F.col("__p").alias("i0"), *(c for c in ("shape", "cell") if c in df.columns))
+
+
 def sort_cells(cells: Column, down: bool = False) -> Column:
     """Sorts an array column in the row."""
     return F.sort_array(cells, asc=not down)

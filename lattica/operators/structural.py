@@ -5,6 +5,7 @@ from __future__ import annotations
 from math import prod
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lattica.darray import DArray, want_rank
 from lattica.errors import DomainError, FillError, RankError, ShapeError
@@ -240,3 +241,11 @@ def reorder(x: DArray, *to: int) -> DArray:
         shape.append(min(x.shape[k] for k in own))
         columns.append(F.col(f"i{own[0]}").alias(f"i{p}"))
     return x.with_df(df.select(*columns, "v"), tuple(shape))
+
+
+def depth_of(x: DArray) -> int:
+    """How deep arrays lie in each other: 0 for an atom, 1 for an array of atoms, one more for each level of its cells."""
+    kind, levels = x.df.schema["v"].dataType, int(x.rank > 0)
+    while isinstance(kind, T.ArrayType):
+        kind, levels = kind.elementType, levels + 1
+    return levels

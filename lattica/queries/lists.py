@@ -39,14 +39,45 @@ def literal(spark, d):
     return Engine(spark).literal([[1, 2], [3, 4]]).df
 
 
-@query("SELECT r_regionkey AS i0, r_name AS line FROM region")
-def file_lines(spark, d):
+def _names(spark, d) -> str:
+    """A folder of its own, shared by driver and executors, with the names of regions as a file of lines."""
     from lattica.plans.index import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/lines-{uuid.uuid4().hex}"
     files.write_lines(table(spark, d, "region").orderBy("r_regionkey").coalesce(1), "r_name", folder)
-    return files.lines(spark, folder)
+    return folder
+
+
+@query("SELECT r_regionkey AS i0, r_name AS line FROM region")
+def file_lines(spark, d):
+    return files.lines(spark, _names(spark, d))
+
+
+@query("SELECT string_agg(r_name || chr(10), '' ORDER BY r_regionkey) AS t FROM region")
+def file_chars(spark, d):
+    return spark.createDataFrame([(files.chars(spark, f"{_names(spark, d)}/part-*"),)], "t string")
+
+
+@query("SELECT sum(strlen(r_name) + 1) AS n, md5(string_agg(r_name || chr(10), '' ORDER BY r_regionkey)) AS digest FROM region")
+def file_bytes(spark, d):
+    return files.map_bytes(spark, f"{_names(spark, d)}/part-*").select(F.col("length").alias("n"), F.md5("content").alias("digest"))
+
+
+@query("SELECT 1 AS files, sum(strlen(r_name) + 1) AS bytes FROM region")
+def file_list(spark, d):
+    found = files.files_in(spark, _names(spark, d)).where("name like 'part-%'")
+    return found.agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+
+
+@query("SELECT true AS same, true AS moved")
+def make_rand(spark, d):
+    """Two generators of one seed give the same lists; a generator's lists differ from each other."""
+    a, b = files.Rand(spark, 7), files.Rand(spark, 7)
+    first, second = a.range(1000, 50).df, a.range(1000, 50).df
+    again = b.range(1000, 50).df
+    both = first.join(again.withColumnRenamed("v", "w"), "i0").join(second.withColumnRenamed("v", "x"), "i0")
+    return both.agg(F.every(F.col("v") == F.col("w")).alias("same"), F.some(F.col("v") != F.col("x")).alias("moved"))
 
 
 @query("SELECT count(*) AS n, count(DISTINCT i) AS u, min(i) AS low, max(i) AS high FROM range(20000) t(i)")
@@ -358,6 +389,17 @@ def fold_divide(spark, d):
     return rounded(fold.fold_frame("divide", values(spark, d, F.lit(1) + F.col("value") / 1e6)), 6)
 
 
+@query("SELECT round(exp(sum(ln(1 + value / 1e6))) - 1, 6) AS v FROM events")
+def fold_associative(spark, d):
+    return rounded(fold.fold_associative(lambda a, b: a + b + a * b, values(spark, d, F.col("value") / 1e6)), 6)
+
+
+@query("SELECT coalesce(arg_max(value, event_id) FILTER (value >= 50), arg_min(value, event_id)) AS v FROM events")
+def fold_last(spark, d):
+    """A fold that depends on the order: the last large value, else the first of all."""
+    return fold.fold_associative(lambda a, b: F.when(b >= 50, b).otherwise(a), values(spark, d))
+
+
 @query("SELECT round(sum(value) + 10, 2) AS v FROM events")
 def fold_seeded(spark, d):
     return spark.createDataFrame([(round(fold.fold("add", values(spark, d), 10.0), 2),)], "v double")
@@ -514,6 +556,36 @@ def sort_rows(spark, d):
     return order.sort(structural.transpose(structural.couple(a, b))).df
 
 
+_CELLS = "(SELECT vec_id, [CAST(floor(x * 2) AS DOUBLE) FOR x IN embedding[1:(vec_id % 5)]] AS cell FROM embeddings)"
+
+
+def _ragged(spark, d):
+    cells = F.slice(F.transform("embedding", lambda x: F.floor(x.cast("double") * 2).cast("double")), F.lit(1), F.expr("CAST(vec_id % 5 AS INT)"))
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("i0"), cells.alias("cell"))
+
+
+@query(f"SELECT row_number() OVER (ORDER BY cell, vec_id) - 1 AS i0, cell FROM {_CELLS}")
+def sort_nested(spark, d):
+    return order.sort_nested(_ragged(spark, d))
+
+
+@query(f"SELECT row_number() OVER (ORDER BY cell DESC, vec_id) - 1 AS i0, CAST(vec_id AS DOUBLE) AS v FROM {_CELLS}")
+def grade_nested_down(spark, d):
+    return order.grade_nested(_ragged(spark, d), down=True).df
+
+
+_MIXED = "[CASE WHEN x < 0 THEN 1000 + ascii(event_type) ELSE x END FOR x IN [user_id % 3 - 1.0::DOUBLE, event_id % 2 - 1.0::DOUBLE]]"
+
+
+@query(f"SELECT row_number() OVER (ORDER BY {_MIXED}, (event_id % 4 = 0), event_id) - 1 AS i0, CAST(event_id AS DOUBLE) AS v FROM events")
+def grade_mixed(spark, d):
+    """Numbers before characters, and a table after a list of the same elements."""
+    letter = F.ascii("event_type")
+    items = F.transform(F.array(F.expr("user_id % 3 - 1"), F.expr("event_id % 2 - 1")), lambda x: order.atom(F.when(x < 0, letter).otherwise(x), x < 0))
+    shape = F.when(F.expr("event_id % 4 = 0"), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(2)))
+    return order.grade_nested(table(spark, d, "events").select(F.col("event_id").alias("i0"), items.alias("cell"), shape.alias("shape"))).df
+
+
 @query("SELECT event_id AS i0, CAST(row_number() OVER (ORDER BY user_id, event_id) - 1 AS DOUBLE) AS v FROM events")
 def ranks(spark, d):
     return order.ranks(users(spark, d)).df
@@ -653,6 +725,9 @@ def _named(name: str, f):
 
 
 _of_values("constant", "7.0::DOUBLE", lambda v: combinators.constant(F.lit(7.0))(v))
+_of_values("left_argument", "value", lambda v: combinators.left(v, F.lit(1.0)))
+_of_values("right_argument", "1.0::DOUBLE", lambda v: combinators.right(v, F.lit(1.0)))
+_of_values("fill_by", "-value", lambda v: combinators.fill_by(num.negate, num.floor)(v))
 _of_values("swap", "3 - value", lambda v: combinators.swap(num.subtract)(v, F.lit(3.0)))
 _of_values("swap_self", "value + value", lambda v: combinators.swap(num.add)(v))
 _of_values("atop", "-floor(value)", lambda v: combinators.atop(num.negate, num.floor)(v))
@@ -664,6 +739,12 @@ _of_values("valences_one", "-value", lambda v: combinators.valences(num.negate,
 _of_values("valences_two", "value - 5", lambda v: combinators.valences(num.negate, num.subtract)(v, F.lit(5.0)))
 
 
+@query("SELECT 1 AS list, 2 AS cells, 0 AS atom")
+def depth_of(spark, d):
+    x = vectors(spark, d)
+    return spark.createDataFrame([(structural.depth_of(x), structural.depth_of(structural.enclose_cells(x)), structural.depth_of(DArray(values(spark, d).df.select("v"), ())))], "list int, cells int, atom int")
+
+
 @query("SELECT true AS took")
 def timed(spark, d):
     return spark.createDataFrame([(combinators.timed(lambda x: x.map(num.negate))(values(spark, d)) > 0,)], "took boolean")

@@ -208,6 +208,19 @@ def format_numbers(spark, d):
     return table(spark, d, "events").select("event_id", lib.format_number(F.expr("(CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END) * (event_id + 1)")).alias("t"))
 
 
+@query("SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN '⟨⟩' ELSE '⟨ ' || replace(array_to_string([CAST(floor(x * 10) AS INTEGER) FOR x IN embedding[1:(vec_id % 3)]], ' '), '-', '¯') || ' ⟩' END AS t FROM embeddings")
+def format_lists(spark, d):
+    cells = F.slice(F.transform("embedding", lambda x: F.floor(x.cast("double") * 10).cast("double")), F.lit(1), F.expr("CAST(vec_id % 3 AS INT)"))
+    return table(spark, d, "embeddings").select("vec_id", lib.format_list(cells).alias("t"))
+
+
+@query("SELECT count(DISTINCT embedding) AS cells, count(DISTINCT embedding) AS hashes FROM embeddings")
+def array_hash(spark, d):
+    """Equal cells and no others have equal hashes."""
+    hashed = table(spark, d, "embeddings").select("embedding", F.when(F.col("embedding").isNotNull(), F.xxhash64("embedding")).alias("h"))
+    return hashed.agg(F.countDistinct("embedding").alias("cells"), F.countDistinct("h").alias("hashes"))
+
+
 @query()
 def error_functions(spark, d):
     return values(spark, d, F.col("value") / 200).df.select("i0", lib.erf(F.col("v")).alias("erf"), lib.erfc(F.col("v")).alias("erfc"))

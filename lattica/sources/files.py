@@ -44,6 +44,15 @@ def read_bytes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path)
 
 
+map_bytes = read_bytes  # content is read when a plan uses it
+
+
+def files_in(spark: SparkSession, path: str) -> DataFrame:
+    """(name, length, modified) of the files in a folder, however many; contents aren't read."""
+    found = read_bytes(spark, path)
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.col("modificationTime").alias("modified"))
+
+
 def write_bytes(path: str, values: list[int]) -> list[int]:
     Path(path).write_bytes(bytes(values))
     return values
@@ -90,6 +99,26 @@ def deal(spark: SparkSession, n: int, seed: int) -> DArray:
     return DArray(made.select("i0", F.col("id").cast("double").alias("v")), (n,))
 
 
+class Rand:
+    """Random lists from one seed: the same draws in the same order give the same lists, in any process."""
+
+    def __init__(self, spark: SparkSession, seed: int) -> None:
+        self.spark, self.seed, self.draws = spark, seed, 0
+
+    def _next(self) -> int:
+        self.draws += 1
+        return self.seed * 1_000_003 + self.draws
+
+    def range(self, n: int, below: int) -> DArray:
+        return random_range(self.spark, n, below, self._next())
+
+    def deal(self, n: int) -> DArray:
+        return deal(self.spark, n, self._next())
+
+    def subset(self, k: int, n: int) -> DArray:
+        return subset(self.spark, k, n, self._next())
+
+
 def subset(spark: SparkSession, k: int, n: int, seed: int) -> DArray:
     """k different numbers of 0..n-1, by a top-k of their hashes."""
     rows = spark.range(n).withColumn("__h", F.xxhash64("id", F.lit(seed))).orderBy("__h", "id").limit(k)

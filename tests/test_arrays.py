@@ -19,7 +19,7 @@ def test_reshaping_golden_values(e):
     six = e.literal([1, 2, 3, 4, 5, 6])
     assert structural.reshape(six, 2, 3).collect() == [[1, 2, 3], [4, 5, 6]]
     assert structural.reshape(e.literal([3, 1]), 5).collect() == [3, 1, 3, 1, 3]
-    assert structural.take(structural.reshape(e.literal([9]), 2), -3).collect() == [0, 9, 9]
+    assert structural.take(e.literal([11, 12, 13]), -5).collect() == [0, 0, 11, 12, 13]
     assert structural.take(e.literal("ab"), 4).collect() == ["a", "b", " ", " "]
     assert structural.take(e.iota(0), 0).shape == (0,)
     assert structural.reshape(six, "pad", 4).collect() == [[1, 2, 3, 4], [5, 6, 0, 0]]
@@ -121,6 +121,47 @@ def test_folds_and_scans(e, spark):
     assert selection.counts_of(e.literal([2, 3, 1, 1])).collect() == [0, 2, 1, 1]
 
 
+def test_folds_by_a_users_function(e):
+    rng = np.random.default_rng(6)
+    v = rng.integers(0, 9, 500).astype(float).tolist()
+    x = e.literal(v)
+    x = x.with_df(x.df.repartition(5))
+    last = lambda a, b: F.when(b >= 7, b).otherwise(a)
+    want = next((y for y in reversed(v) if y >= 7), v[0])
+    assert [fold.fold_associative(last, x, block).first()["v"] for block in (3, 64, 4096)] == [want] * 3
+    assert fold.fold_associative(lambda a, b: a + b, x, 7).first()["v"] == sum(v)
+    assert fold.fold_associative(lambda a, b: a + b, e.literal([5])).first()["v"] == 5
+    assert fold.fold_associative(lambda a, b: a + b, e.iota(0)).first()["v"] is None
+
+
+def test_order_of_nested_arrays(e, spark):
+    rng = np.random.default_rng(7)
+    lists = [rng.integers(0, 3, rng.integers(0, 4)).astype(float).tolist() for _ in range(80)]
+    df = spark.createDataFrame(list(enumerate(lists)), "i0 long, cell array<double>").repartition(3)
+    up = sorted(range(80), key=lambda k: (lists[k], k))
+    down = sorted(up, key=lambda k: lists[k], reverse=True)
+    assert order.grade_nested(df).collect() == up and order.grade_nested(df, down=True).collect() == down
+    assert [list(r.cell) for r in order.sort_nested(df).orderBy("i0").collect()] == [lists[k] for k in up]
+    deep = spark.createDataFrame([(0, [[2.0], [1.0]]), (1, [[2.0]]), (2, [[], [9.0]]), (3, [[2.0], []])], "i0 long, cell array<array<double>>")
+    assert order.grade_nested(deep).collect() == [2, 1, 3, 0]
+    # the same elements: the atom, the list of one, the table of one; a letter after every number
+    rows = [(0, "a", True, [1]), (1, "7", False, [1, 1]), (2, "7", False, []), (3, "7", False, [1]), (4, "900", False, [1])]
+    mixed = spark.createDataFrame(rows, "i0 long, t string, c boolean, shape array<long>")
+    cell = F.array(order.atom(F.when(F.col("c"), F.ascii("t")).otherwise(F.expr("try_cast(t AS double)")), F.col("c")))
+    assert order.grade_nested(mixed.select("i0", "shape", cell.alias("cell"))).collect() == [2, 3, 1, 4, 0]
+    assert order.grade_nested(df.limit(0)).collect() == []
+
+
+def test_depth_and_formats(e, spark):
+    from lattica.functions import library
+
+    m = e.iota(2, 3)
+    assert (structural.depth_of(m), structural.depth_of(structural.enclose_cells(m))) == (1, 2)
+    df = spark.createDataFrame([([1.0, -2.5, math.inf],), ([],), (None,)], "x array<double>")
+    assert [r[0] for r in df.select(library.format_list(F.col("x"))).collect()] == ["⟨ 1 ¯2.5 ∞ ⟩", "⟨⟩", None]
+    assert c.left(1, 2) == 1 and c.right(1, 2) == 2 and c.right(3) == 3
+
+
 def test_selection(e):
     x = e.literal([10, 20, 30])
     assert selection.indices(e.literal([0, 2, 1])).collect() == [1, 1, 2]
@@ -134,13 +175,13 @@ def test_selection(e):
 
 
 def test_under(e):
-    seven, neg = e.iota(7), lambda p: p.map(num.negate)
-    assert c.under_take(structural.reverse, seven, -2).collect() == [0, 1, 2, 3, 4, 6, 5]
-    assert c.under_take(neg, e.literal([6, 4, 2]), -1).collect() == [6, 4, -2]
-    assert c.under_drop(structural.reverse, seven, -5).collect() == [1, 0, 2, 3, 4, 5, 6]
-    assert c.under_filter(structural.reverse, e.literal([0, 1, 1]), e.literal([5, 6, 7])).collect() == [5, 7, 6]
+    squares, triple = e.literal([0, 1, 4, 9, 16, 25]), lambda p: p.map(lambda v: v * 3)
+    assert c.under_take(structural.reverse, squares, -4).collect() == [0, 1, 25, 16, 9, 4]
+    assert c.under_take(triple, squares, 2).collect() == [0, 3, 4, 9, 16, 25]
+    assert c.under_drop(triple, squares, -4).collect() == [0, 3, 4, 9, 16, 25]
+    assert c.under_filter(structural.reverse, e.literal([1, 0, 1, 1, 0, 1]), squares).collect() == [25, 1, 9, 4, 16, 0]
     with pytest.raises(ShapeError):
-        c.under_places(neg, seven, e.literal([1, 1]))
+        c.under_places(triple, squares, e.literal([4, 4]))
 
 
 def test_combinators(e):
