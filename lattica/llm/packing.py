@@ -25,13 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.chunks import ChunkCache, byte_level, id_kind, special_strings, whole_text
+from lattica.llm.chunks import byte_level, id_kind, special_strings, whole_text
 from lattica.llm.common import per_task, stored
 
 #: Fixed values of the contract.
 WINDOW, END = 2048, 1
 
-#: Documents that a worker holds as chunks at once.
+#: Documents that a worker holds at once.
 SLICE_ROWS = 1000
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -57,15 +57,11 @@ def encoded(df: DataFrame, path: str, doc_id: str, text: str, end: int) -> DataF
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, place = TaskContext.get().partitionId(), 0
         one, special = byte_level(path), special_strings(path)
-        cache = ChunkCache(lambda some: [_little(one(x), kind) for x in some])
         last = _little([end], kind)
         for some in parts:
             texts = some.column(1).to_pylist()
-            marked = [k for k, x in enumerate(texts) if x and any(y in x for y in special)]  # chunks don't hold for these
-            whole = {k: _little(whole_text(path)(texts[k]), kind) for k in marked}
-            for k in marked:
-                texts[k] = None
-            ids = [whole.get(k, b"".join(x)) + last for k, x in enumerate(cache.batch(texts))]
+            texts = [x or "" for x in texts]
+            ids = [_little((whole_text(path) if any(y in x for y in special) else one)(x), kind) + last for x in texts]
             sizes = np.array([len(x) // width for x in ids], dtype=np.int64)
             places = place + np.cumsum(sizes) - sizes
             place += int(sizes.sum())
