@@ -7,13 +7,18 @@ import json
 from collections.abc import Callable
 from functools import cache
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 
 PATTERN = public_tokenizers.PATTERN
 _ADJACENT = regex.compile(r"\s\s")
 _SPLIT = regex.compile(PATTERN)
+#: Two adjacent characters that are white space to the pattern or to str.isspace, for Arrow.
+_ADJACENT_ARROW = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}"
 
 
 def pretokens(text: str) -> list[str]:
@@ -32,6 +37,39 @@ def chunks(text: str) -> list[str]:
     return [first] * bool(first) + [" " + x for x in rest]
 
 
+def cut_texts(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """(words of the pieces end to end, number of words of each piece, pieces of the texts end to end, number of pieces of each text); texts has no nulls.
+
+    Texts without adjacent white space are cut at spaces, and each piece between two spaces is matched once: put together
+    by spaces they are a text whose words begin with a space where a piece begins, and only there. First and last
+    pieces, and texts with adjacent white space, are pieces of their own.
+    """
+    odd = pc.match_substring_regex(texts, _ADJACENT_ARROW)
+    split = pc.split_pattern(texts.filter(pc.invert(odd)), " ")
+    values, many = split.flatten(), pc.list_value_length(split).to_numpy().astype(np.int64)
+    last = np.cumsum(many) - 1
+    first, last = last - many + 1, last[many > 1]
+    inner = np.ones(len(values), dtype=bool)
+    inner[first] = inner[last] = False
+    between = values.filter(pa.array(inner)).dictionary_encode()
+    words = _SPLIT.findall(" " + " ".join(between.dictionary.to_pylist())) if len(between) else []
+    begins = np.flatnonzero(pc.starts_with(pa.array(words, type=pa.large_string()), " ").to_numpy(zero_copy_only=False))
+    single = [*map(pretokens, values.take(pa.array(first)).to_pylist()), *(pretokens(" " + x) for x in values.take(pa.array(last)).to_pylist()), *map(pretokens, texts.filter(odd).to_pylist())]
+    held = np.concatenate([np.diff(begins, append=len(words)), np.fromiter(map(len, single), dtype=np.int64, count=len(single))])
+    words.extend(w for x in single for w in x)
+    places = np.empty(len(values), dtype=np.int64)
+    places[inner] = between.indices.to_numpy()
+    places[first] = len(begins) + np.arange(len(first))
+    places[last] = len(begins) + len(first) + np.arange(len(last))
+    whole = odd.to_numpy(zero_copy_only=False)
+    counts = np.ones(len(texts), dtype=np.int64)
+    counts[~whole] = many
+    pieces = np.empty(counts.sum(), dtype=np.int64)
+    at = np.repeat(whole, counts)
+    pieces[at], pieces[~at] = np.arange(len(held) - whole.sum(), len(held)), places
+    return words, held, pieces, counts
+
+
 class ChunkCache:
     """Chunk -> what encode makes of it, for the distinct chunks of the batches that a worker has seen; emptied when it holds most."""
 
@@ -108,4 +146,4 @@ def id_kind(path: str) -> str:
     return "H" if most < 1 << 16 else "I"
 
 
-__all__ = ["PATTERN", "ChunkCache", "byte_level", "chunks", "id_kind", "pretokens", "read_ranks", "special_strings", "whole_text"]
+__all__ = ["PATTERN", "ChunkCache", "byte_level", "chunks", "cut_texts", "id_kind", "pretokens", "read_ranks", "special_strings", "whole_text"]

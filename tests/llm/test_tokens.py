@@ -1,9 +1,11 @@
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from lattica.llm import bpe, chunks, packing
@@ -45,6 +47,42 @@ def test_recursion_and_heap_agree():
     assert codec.decode(codec.encode_words([*words, b""])) == [*words, b""]
 
 
+def test_cost_of_the_recursion():
+    """A step costs a word's list once and two lookups, so long words stay near the heap's cost; steps over a sorted row a token take about ten times it."""
+    codec = bpe.Codec(bpe.default_path())
+    rng = random.Random(9)
+    words = ["".join(rng.choices(["en", "th", "e", "a", "ing", "ion", "x", "q"], k=240)).encode()[: bpe.LONG - 12] for _ in range(300)]
+    began = time.process_time()
+    heap = [codec._heap(w) for w in words]
+    between = time.process_time()
+    found = [x.tolist() for x in codec.encode_words(words)]
+    assert found == heap
+    assert time.process_time() - between < 4 * (between - began)
+
+
+def test_words_are_cut_as_the_pattern_cuts():
+    rng = random.Random(10)
+    space = [chr(k) for k in range(0x3001) if chr(k).isspace() or chunks._SPLIT.fullmatch(chr(k)) and chunks._ADJACENT.match(2 * chr(k))]
+    plain = [" ".join(rng.choices(["a", "bc,d", "'s", "é", "日本語", "x.\ny", "12.5", "\u0085"], k=rng.randrange(9))) for _ in range(300)]
+    mixed = ["".join(rng.choices(["a", "b.", " ", "'ll", *space], k=rng.randrange(9))) for _ in range(300)]
+    for texts in ([], [""], ["", " ", " a ", "a"], ["a  b"] * 3, plain, mixed, [*plain, *mixed], [*strange_texts(), *(x or "" for x in EDGE_TEXTS)]):
+        words, many, pieces, counts = chunks.cut_texts(pa.array(texts, type=pa.large_string()))
+        of_piece = np.split(np.array(words, dtype=object), np.cumsum(many)[:-1]) if len(many) else []
+        found = [[w for p in x for w in of_piece[p]] for x in np.split(pieces, np.cumsum(counts)[:-1])] if texts else []
+        assert found == [chunks.pretokens(x) for x in texts]
+
+
+def test_memory_and_slices_do_not_change_ids(monkeypatch, library):
+    """Small slices, small queries and a memory that is emptied, with texts of many sizes and nulls between them."""
+    for name, most in (("WORDS", 50), ("QUERY_WORDS", 7), ("QUERY_SQUARES", 300), ("SLICE_BYTES", 200)):
+        monkeypatch.setattr(bpe, name, most)
+    rng = random.Random(11)
+    texts = [None, *strange_texts()[:120], "ab" * 300, "", *("".join(rng.choices("ab", k=k)) + " end" for k in (1, 90, 511, 512, 513))]
+    for text, (ids, decoded) in zip(texts, bpe.Codec(bpe.default_path()).encode_batch(texts), strict=True):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == library.encode_ordinary(text or "")
+        assert decoded == (text or "").encode()
+
+
 def test_digests_of_a_table(spark, library, edge_docs, no_docs):
     texts = texts_of(spark)
     found = bpe.digests(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).collect()
