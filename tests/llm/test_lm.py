@@ -139,3 +139,50 @@ def test_reading_against_plain_python():
     asked = np.r_[keys[::2], keys[1::2] + 1, -(2**63), 2**63 - 1]
     at, there = lm.Hot(keys, keys, keys, keys).find(asked)
     assert there.tolist() == np.isin(asked, keys).tolist() and (keys[at[there]] == asked[there]).all()
+
+
+def test_every_word_of_training_is_a_context(spark, monkeypatch):
+    """Rare words are contexts as frequent ones are: where their totals lie changes no more than the draws."""
+    rng = np.random.default_rng(4)
+    text = lambda: " ".join(f"{'abcdefgh'[k]}ing next{k}" for k in rng.integers(0, 8, 60))
+    docs = spark.createDataFrame([(k, text()) for k in range(120)], "doc_id long, text string")
+    score = lambda: sum(r.score for r in lm.score_documents(docs).where("held_out").collect())
+    frequent = score()
+    monkeypatch.setattr(lm, "SHARE", 1)
+    assert score() == pytest.approx(frequent, rel=0.02)
+
+
+def test_totals_by_key_against_totals_in_every_task(spark, monkeypatch):
+    """On real texts, over several buckets and meetings; the scores of a text differ by its seating alone."""
+    monkeypatch.setattr(lm, "BUCKET_BYTES", 20_000)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(3)
+    found = []
+    for share in (1 << 40, 300, 1):
+        monkeypatch.setattr(lm, "SHARE", share)
+        found.append({r.doc_id: r.score / r.n_tokens for r in lm.score_documents(docs).collect()})
+    for other in found[1:]:
+        assert other == pytest.approx(found[0], rel=0.03)
+        assert sum(other.values()) == pytest.approx(sum(found[0].values()), rel=0.003)
+
+
+@pytest.mark.parametrize("salts", [1, 2])
+def test_customers_and_tables_by_key(spark, monkeypatch, salts):
+    """What the meetings send back against counts and tables of all buckets together."""
+    monkeypatch.setattr(lm, "SHARE", 1)
+    texts = [(True, b"only held out")] + [(False, " ".join(f"w{k % 7} v{k % 5}" for k in range(n)).encode()) for n in (3, 40, 200)] + [(False, None)]
+    held_rows = spark.createDataFrame(texts, "held_out boolean, text binary").repartition(3)
+    known = spark.sparkContext.broadcast(lm.Contexts(np.zeros(0, dtype=np.int64), np.arange(lm.PARENTS)))
+    held = lm.Held(known, lm.dealt(held_rows, 8, salts, known), 2, [])
+    model, _ = lm.learn(held)
+    states = lambda buckets, _: ((b.keys, b.customers, b.tables, b.by_key(b.c), [b.by_key(x[0]) for x in b.sweeps(model, k, lm.SWEEPS)]) for k, b in buckets)
+    found = held.run(states).collect()
+    customers, tables = Counter(), Counter()
+    for keys, _, _, c, t in found:
+        for i, key in enumerate(keys.tolist()):
+            customers[key] += int(c[i])
+            tables.update({(key, k): int(t[k][i]) for k in range(lm.SWEEPS + 1)})
+    assert len(customers) == 12 and sum(customers.values()) == sum(len(t.split()) for held_out, t in texts if t and not held_out)
+    for keys, c, t, *_ in found:
+        for i, key in enumerate(keys.tolist()):
+            assert c[i] == customers[key]
+            assert [int(t[k][i]) for k in (0, *range(lm.BURN_IN + 1, lm.SWEEPS + 1))] == [tables[key, k] for k in (0, *range(lm.BURN_IN + 1, lm.SWEEPS + 1))]
